@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,21 @@ MEMO_ENTRIES = 900_000
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings: hash, displace, compare.
 
-    Keys fall into buckets by the high half of XXH3-128; buckets, largest
+    Keys fall into buckets by the high half of XXH3-64; buckets, largest
     first, get the first displacement that sends all their keys to free slots.
     Buckets of one key store their slot itself (as -slot - 1).
     """
 
     def __init__(self, keys: list[bytes]):
         self.n = n = max(1, len(keys))
-        self.buckets = m = max(1, n // 4)
+        self.buckets = m = max(1, n // 2)
         self.shift = np.zeros(m, np.int64).tolist()
         self.keys: list[bytes | None] = [None] * n
         self.values = [-1] * n
         members: list[list[tuple[int, int]]] = [[] for _ in range(m)]
         for i, key in enumerate(keys):
-            h = xxhash.xxh3_128_intdigest(key)
-            members[(h >> 64) % m].append((h & 0xFFFFFFFFFFFFFFFF, i))
+            h = xxhash.xxh3_64_intdigest(key)
+            members[(h >> 32) % m].append((h, i))
         taken = [False] * n
         order = sorted(range(m), key=lambda b: -len(members[b]))
         free = 0
@@ -76,9 +77,9 @@ class PerfectHash:
 
     def get(self, key: bytes) -> int:
         """Index of `key` among the keys, or -1."""
-        h = xxhash.xxh3_128_intdigest(key)
-        d = self.shift[(h >> 64) % self.buckets]
-        s = -d - 1 if d < 0 else self._slot(h & 0xFFFFFFFFFFFFFFFF, d)
+        h = xxhash.xxh3_64_intdigest(key)
+        d = self.shift[(h >> 32) % self.buckets]
+        s = -d - 1 if d < 0 else self._slot(h, d)
         return self.values[s] if self.keys[s] == key else -1
 
 
@@ -91,6 +92,24 @@ def read_ranks(path: str) -> list[bytes]:
     return [found[i] for i in range(len(found))]
 
 
+class _SpaceBeforeSpace(Exception):
+    """A part that follows a space is empty or starts with white space."""
+
+
+class _Memo(dict):
+    """Packed ids of ' ' + part."""
+
+    def __init__(self, encode_part):
+        super().__init__()
+        self.encode_part = encode_part
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace():
+            raise _SpaceBeforeSpace
+        self[part] = ids = self.encode_part(f" {part}")
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; built once in each Python worker."""
 
@@ -107,29 +126,38 @@ class Codec:
                 a, b = ids.get(t[:k]), ids.get(t[k:])
                 if a is not None and b is not None:
                     self.pairs[a * n + b] = i
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.encode_part)
         self.most = memo_entries
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token that is no token, by a heap over linked bytes."""
         n, pairs, size = self.n, self.pairs.get, len(piece)
-        at = [self.byte[b] for b in piece]
+        byte = self.byte
+        at = [byte[b] for b in piece]
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = [r * size + i for i in range(size - 1) if (r := pairs(at[i] * n + at[i + 1], -1)) >= 0]
+        bits = size.bit_length()
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, (x, y) in enumerate(zip(at, at[1:])) if (r := pairs(x * n + y, -1)) >= 0]
         heapify(heap)
         while heap:
-            rank, i = divmod(heappop(heap), size)
+            top = heappop(heap)
+            i, rank = top & low, top >> bits
             j = after[i]
-            if at[i] < 0 or j >= size or pairs(at[i] * n + at[j], -1) != rank:
+            left = at[i]
+            if left < 0 or j >= size or pairs(left * n + at[j]) != rank:
                 continue  # one of the two has been merged meanwhile
             at[i], at[j] = rank, -1
             after[i] = k = after[j]
             if k < size:
                 before[k] = i
-                if (r := pairs(rank * n + at[k], -1)) >= 0:
-                    heappush(heap, r * size + i)
-            if (h := before[i]) >= 0 and (r := pairs(at[h] * n + rank, -1)) >= 0:
-                heappush(heap, r * size + h)
+                r = pairs(rank * n + at[k])
+                if r is not None:
+                    heappush(heap, r << bits | i)
+            h = before[i]
+            if h >= 0:
+                r = pairs(at[h] * n + rank)
+                if r is not None:
+                    heappush(heap, r << bits | h)
         return [x for x in at if x >= 0]
 
     def encode_part(self, part: str) -> bytes:
@@ -139,7 +167,7 @@ class Codec:
             raw = token.encode("utf-8", "surrogatepass")
             i = self.whole.get(raw)
             out += [i] if i >= 0 else self.merge(raw)
-        return np.array(out, "<u4").tobytes()
+        return pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed.
@@ -149,22 +177,15 @@ class Codec:
         them from the memo; text with a space before white space or at its end
         is split as a whole.
         """
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
         if not text:
             return b""
-        parts = [f" {p}" for p in text.split(" ")]
-        parts[0] = parts[0][1:]
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        head, *parts = text.split(" ")
         try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            for i, p in enumerate(parts):
-                if p not in memo:
-                    if i and (len(p) == 1 or p[1].isspace()):
-                        return self.encode_part(text)
-                    memo[p] = self.encode_part(p)
-            return b"".join([memo[p] for p in parts])
+            return self.encode_part(head) + b"".join(map(self.memo.__getitem__, parts))
+        except _SpaceBeforeSpace:
+            return self.encode_part(text)
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
