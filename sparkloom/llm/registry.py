@@ -1,6 +1,8 @@
 """All registered queries of the training-data operators, and their SQL."""
 
-from sparkloom.llm import bpe, decontaminate
+from sparkloom.llm import bpe, chat, decontaminate, exact_dedup, sharding, simhash, toxicity
 
-QUERIES = bpe.QUERIES | decontaminate.QUERIES
-ORACLES: dict[str, str] = {}
+_MODULES = (bpe, chat, decontaminate, exact_dedup, sharding, simhash, toxicity)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
