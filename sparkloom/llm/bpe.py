@@ -18,6 +18,7 @@ from heapq import heapify, heappop, heappush
 from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -220,9 +221,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or own_path, pattern or own_pattern
 
     @F.pandas_udf("binary")
-    def run(column: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for batch in column:
             yield pd.Series([c.encode(x) if x is not None else b"" for x in batch], dtype=object)
@@ -236,9 +235,7 @@ def decode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or own_path, pattern or own_pattern
 
     @F.pandas_udf("binary")
-    def run(column: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for batch in column:
             yield pd.Series([c.decode(x) if x is not None else b"" for x in batch], dtype=object)

@@ -27,14 +27,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPAN, DECAY, ALPHABET = 7, 0.6, 64
+SPAN, DECAY, ALPHABET = 7, 0.8, 64
 #: Most labelled texts of each class that the machine learns from.
 SAMPLE = 2500
-LANDMARKS, ROUNDS, COST = 400, 6, 4.0
+LANDMARKS, ROUNDS, COST = 256, 5, 4.0
 #: A unit is scored in windows of so many characters, so that a long one doesn't dilute an insult.
 WINDOW = 12
 #: Tokens that a worker remembers the decision of.
@@ -255,10 +256,6 @@ def _logistic(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-class _Memo(dict):
-    """Decisions of tokens; tokens that are met for the first time are gathered and decided together."""
-
-
 def _text_units(text: str | None) -> list[str]:
     tokens = (text or "").split()
     return sorted({u for u in map(units_of, set(tokens)) if u} | set(spelled(tokens)))
@@ -286,6 +283,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
 
 
 class Scorer:
+    """Decisions of texts; tokens that are met for the first time are gathered and decided together, then remembered."""
+
     def __init__(self, machine: Machine, most: int = MEMO_ENTRIES):
         self.machine, self.most = machine, most
         self.memo: dict[str, float] = {}
@@ -308,18 +307,13 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """`docs` (any columns) with toxicity_score and toxicity_decision appended after doc_id and text are read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
-    def run(column: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         scorer = Scorer(m) if m is not None else None
         for batch in column:
