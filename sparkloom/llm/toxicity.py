@@ -6,8 +6,9 @@ character and spanning at most ``SPAN`` characters; strings are scaled by the
 weight of their own subsequences.  So an insult with inserted characters keeps
 most of its weight.  Nyström landmarks (units of the labelled sample) span the
 feature space, and a squared-hinge SVM is trained in it on units: every unit of
-a clean text is a negative, the most suspicious unit of a toxic text is its
-positive, chosen anew in each round.  A text scores as its worst unit.
+a clean text is a negative; of a toxic text, the units that clean texts lack
+beyond chance are positives, or else its most suspicious unit, chosen anew in
+each round.  Copies of positives with an inserted letter are positives too.  A text scores as its worst unit.
 
 Units are white-space tokens without their non-alphanumeric characters, in
 lower case, and runs of single-character tokens joined.  As the kernel is a
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 SPAN, DECAY, ALPHABET = 7, 0.8, 64
 #: Most labelled texts of each class that the machine learns from.
 SAMPLE = 2500
-LANDMARKS, ROUNDS, COST = 256, 5, 4.0
+LANDMARKS, ROUNDS, COST = 400, 5, 10.0
 #: A unit is scored in windows of so many characters, so that a long one doesn't dilute an insult.
 WINDOW = 12
+#: A unit of so many toxic texts and next to no clean ones that chance explains it with this probability is a certain sign.
+CHANCE = 1e-6
 #: Tokens that a worker remembers the decision of.
 MEMO_ENTRIES = 900_000
 #: Decision of a text without units.
@@ -129,13 +132,19 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) ->
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], 1.0)
     ridge[-1] = 1e-3
-    for _ in range(25):
+    loss = lambda w: float(cost * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum())
+    now = loss(w)
+    for _ in range(40):
         active = y * (x @ w) < 1
         a = x[active] * (cost * weight[active])[:, None]
-        new = np.linalg.solve(x[active].T @ a + np.diag(ridge), a.T @ y[active])
-        if np.abs(new - w).max() < 1e-6:
+        step = np.linalg.solve(x[active].T @ a + np.diag(ridge), a.T @ y[active]) - w
+        size, new = 1.0, loss(w + step)
+        while new > now and size > 1e-3:
+            size /= 2
+            new = loss(w + size * step)
+        if now - new <= 1e-7 * now:
             break
-        w = new
+        w, now = w + size * step, new
     return w[:-1], float(w[-1])
 
 
@@ -193,6 +202,12 @@ def spelled(tokens: list[str]) -> list[str]:
     return out
 
 
+def _inserted(unit: str, rng: np.random.Generator) -> str:
+    """`unit` with a random letter inside."""
+    at = int(rng.integers(1, max(2, len(unit))))
+    return unit[:at] + chr(97 + int(rng.integers(26))) + unit[at:]
+
+
 def _learn(texts: list[tuple[int, list[str]]]) -> Machine | None:
     """Machine from (toxic, distinct units) of the labelled sample."""
     toxic = [u for y, u in texts if y == 1 and u]
@@ -211,30 +226,42 @@ def _learn(texts: list[tuple[int, list[str]]]) -> Machine | None:
     values, vectors = np.linalg.eigh((gram + gram.T).astype(np.float64) / 2)
     good = values > 1e-4 * values[-1]
     whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-    negatives = [w for w in _windows(list(in_clean))[0] if len(w) >= 3]
+    met = Counter()
+    for w, i in zip(*_windows(known := list(in_clean))):
+        if len(w) >= 3:
+            met[w] += in_clean[known[i]]
+    negatives = list(met)
+    often = np.log1p([*met.values()])
     rng = np.random.default_rng(0)
-    held = set(rng.permutation(len(negatives))[:20_000].tolist())
-    witness = [max(u, key=lambda x: (odds.get(x, -9.0) * np.log1p(in_toxic[x]) if len(x) >= 3 else -99.0, x)) for u in toxic]
+    held = set(rng.permutation(len(negatives))[:10_000].tolist()) | set(np.argsort(-often, kind="stable")[:10_000].tolist())
+    share = len(toxic) / (len(toxic) + len(clean))
+    least = np.log(CHANCE) / np.log(share)
+    certain = {x for x, n in in_toxic.items() if len(x) >= 3 and n >= least and in_clean[x] <= n / 100}
+    signs = [[x for x in u if x in certain] for u in toxic]
+    witness = [own or [max(u, key=lambda x: (odds.get(x, -9.0) * np.log1p(in_toxic[x]) if len(x) >= 3 else -99.0, x))] for u, own in zip(toxic, signs)]
     machine = None
     flat = [x for u in toxic for x in u]
     bounds = np.concatenate(([0], np.cumsum([len(u) for u in toxic])))
     for _ in range(ROUNDS):
-        positive = Counter(w[:WINDOW] for w in witness)
-        chosen = [negatives[i] for i in sorted(held)]
-        strings = list(positive) + chosen
+        positive = Counter(x[:WINDOW] for own in witness for x in own)
+        altered = {_inserted(x, rng): n for x, n in sorted(positive.items()) for _ in range(2)}
+        own = sorted(held)
+        chosen = [negatives[i] for i in own]
+        strings = [*positive, *altered, *chosen]
         x = features(strings, table, columns) @ whiten
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(chosen))])
-        weight = np.concatenate([np.array(list(positive.values()), float), np.ones(len(chosen))])
+        y = np.concatenate([np.ones(len(strings) - len(chosen)), -np.ones(len(chosen))])
+        weight = np.concatenate([np.sqrt([*positive.values()]), np.sqrt([*altered.values()]) / 4, often[own]])
         w, bias = svm(x, y, weight)
         machine = Machine((columns @ (whiten @ w.astype(np.float32)))[table].astype(np.float32), bias)
-        # Clean units inside the margin join the negatives; each toxic text names its worst unit anew.
-        hard = np.argsort(-machine.decide(negatives), kind="stable")[:10_000]
-        held |= set(hard.tolist())
+        # Clean units inside the margin join the negatives; toxic texts without a certain sign name their worst unit anew.
+        against = machine.decide(negatives)
+        hard = [i for i in np.argsort(-against, kind="stable")[:10_000].tolist() if against[i] > -1 and i not in held]
+        held.update(hard)
         decided = machine.decide(flat)
-        own = [u[int(np.argmax(decided[a:b]))] for u, a, b in zip(toxic, bounds, bounds[1:])]
-        if own == witness:
+        now = [sign or [u[int(np.argmax(decided[a:b]))]] for sign, u, a, b in zip(signs, toxic, bounds, bounds[1:])]
+        if now == witness and not hard:
             break
-        witness = own
+        witness = now
     best = lambda u: float(machine.decide(u).max()) if u else LOWEST
     d = np.array([best(u) for u in toxic + clean])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
