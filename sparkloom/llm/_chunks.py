@@ -50,10 +50,12 @@ def pieces(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(to, pa.int64()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())], schema=PIECE_ARROW)
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order that puts equal buckets together, and n + 1 bounds in it."""
+def by_bucket(bucket: np.ndarray) -> dict[int, np.ndarray]:
+    """Indices of each bucket that occurs, in their order."""
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    own = bucket[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+    return dict(zip(own[starts].tolist(), np.split(order, starts[1:])))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
