@@ -1,20 +1,25 @@
-"""Checkpoints in the folder that the cluster names."""
+"""Checkpoints and written tables in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder; lost executors only re-read it.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
-    unset, as in tests on one machine, a temporary folder is set.
+    Only where that is unset, as in tests on one machine, a temporary folder is
+    made and set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder; lost executors only cost a read of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

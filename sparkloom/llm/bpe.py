@@ -243,21 +243,21 @@ def decode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     return docs.withColumn(out, run(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode, decode and digest in one pass: the ids never leave the Python worker.
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encode, decode and digest in one pass over the scan.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and same (the decoded
-    bytes are the text's).
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, same (the decoded
+    bytes are the text's) and, if asked for, the packed ids.
     """
     own_path, own_pattern = default_vocabulary() if path is None or pattern is None else (path, pattern)
     path, pattern = path or own_path, pattern or own_pattern
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            n, a, b, same = [], [], [], []
+            n, a, b, same, packed = [], [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 ids = c.encode(text)
@@ -266,7 +266,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 a.append(sha(ids))
                 b.append(sha(back))
                 same.append(back == text.encode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
+                if keep_ids:
+                    packed.append(ids)
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()), "same": pa.array(same, pa.bool_())}
+            if keep_ids:
+                columns["ids"] = pa.array(packed, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

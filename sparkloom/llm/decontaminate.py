@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,6 +145,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
     return base.join(merged, "doc_id").mapInArrow(_recount, SCHEMA)
 
 
+def survivors(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of `docs` in whose text no window occurs, with all their columns; a filter without a shuffle."""
+    items = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").toLocalIterator() if r[0] is not None]
+    out = docs
+    for pairs in automata(items, size, most):
+        out = out.where(~_occurs(pairs)(F.col("text")))
+    return out
+
+
+def _occurs(pairs: list[tuple[str, str]]):
+    @F.pandas_udf("boolean")
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = build(pairs)
+        for batch in column:
+            yield pd.Series([next(automaton.iter(f" {b' '.join(words_of(x)[1]).decode('latin-1')} "), None) is not None for x in batch.tolist()], dtype=bool)
+
+    return run
+
+
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []

@@ -211,6 +211,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, near: int = NEAR, tile
     return own.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
+    """The rows of `docs` whose doc_id is their component's smallest (or null), with all their columns."""
+    found = near_duplicates(docs, size, near)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

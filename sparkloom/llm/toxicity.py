@@ -334,8 +334,8 @@ class Scorer:
         return out
 
 
-def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """`docs` (any columns) with toxicity_score and toxicity_decision appended after doc_id and text are read."""
+def scored(docs: DataFrame, machine: Machine | None, name: str = "toxicity_score") -> DataFrame:
+    """`docs` with a column `name`: the score of the text, 0 to 1; a map without a shuffle."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(machine)
 
@@ -351,7 +351,15 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
                 out += [m.score(d) for d in scorer.decide(part)] if scorer else [0.0] * len(part)
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("toxicity_score", run(F.col("text")))
+    return docs.withColumn(name, run(F.col("text")))
+
+
+def survivors(docs: DataFrame, machine: Machine | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `threshold`, with all their columns."""
+    name = "_score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return scored(docs, machine, name).where(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
