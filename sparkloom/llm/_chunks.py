@@ -63,3 +63,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, behind their sizes in bytes."""
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return np.array([len(raw), *map(len, raw)], "<i8").tobytes() + b"".join(raw)
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays that pack() was given, by their types."""
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.concatenate(([0], np.cumsum(np.frombuffer(data, "<i8", n, 8))))
+    return [np.frombuffer(data[a:b], kind) for a, b, kind in zip(ends.tolist(), ends[1:].tolist(), kinds)]
