@@ -1,4 +1,5 @@
 """All registered queries of the feature and analytics operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sparkloom.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
