@@ -7,42 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import MISSING, UNKNOWN_CODE
-
-#: Most distinct values of an encoder that is broadcast; larger ones are joined by shuffle.
-BROADCAST_VALUES = 200_000
-
+from sparkloom.operators.settled import hinted, settled
 
 def fit_codes(df: DataFrame, c: str) -> DataFrame:
     """(value, code): distinct non-null values in string order, numbered from 0."""
     values = df.select(F.col(c).cast("string").alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return settled(values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1))
 
 
 def fit_encoders(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code) of several columns in one scan; columns without values have no rows."""
     entries = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns if c in df.columns))
     values = df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
-
-
-def _small(codes: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(codes) if n <= BROADCAST_VALUES else codes
+    return settled(values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1))
 
 
 def apply_codes(df: DataFrame, c: str, codes: DataFrame, name: str | None = None) -> DataFrame:
     """`df` with the code of `c`; nulls and values that the encoder doesn't know are -1."""
     table = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    out = df.join(_small(table, codes.count()), F.col(c).cast("string") == F.col("_value"), "left")
+    out = df.join(hinted(codes, table), F.col(c).cast("string") == F.col("_value"), "left")
     return out.withColumn(name or c, F.coalesce("_code", F.lit(UNKNOWN_CODE))).drop("_value", "_code")
 
 
 def apply_encoders(df: DataFrame, encoders: DataFrame, columns: list[str]) -> DataFrame:
     """All columns of `df` in `columns` replaced by their codes."""
-    sizes = {r["column"]: r["count"] for r in encoders.groupBy("column").count().collect()}
     out = df
     for i, c in enumerate(c for c in columns if c in df.columns):
         table = encoders.where(F.col("column") == c).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
-        out = out.join(_small(table, sizes.get(c, 0)), F.col(c).cast("string") == F.col(f"_value{i}"), "left").withColumn(c, F.coalesce(f"_code{i}", F.lit(UNKNOWN_CODE))).drop(f"_value{i}", f"_code{i}")
+        out = out.join(hinted(encoders, table), F.col(c).cast("string") == F.col(f"_value{i}"), "left").withColumn(c, F.coalesce(f"_code{i}", F.lit(UNKNOWN_CODE))).drop(f"_value{i}", f"_code{i}")
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import nested as N
 from sparkloom.functions.scalar import hour_bin, hour_cyclical
 from sparkloom.operators import encoding, stats
+from sparkloom.operators.settled import hinted
 
 CATEGORICAL = ["country", "region", "dev_os", "dev_osv", "dev_make", "dev_model", "carrier", "advertiser_bundle", "advertiser_category", "advertiser_subcategory", "advertiser_bottom_taxonomy_level"]
 SCALARS = ["avg_act_days", "avg_daily_sessions", "avg_days_ins", "avg_duration", "weekend_ratio", "weeks_since_first_seen", "wifi_ratio"]
@@ -20,8 +21,6 @@ ACTIONS = {"advertiser_actions_action_count": "adv_action", "user_actions_bundle
 #: Lookup tables and what each adds; segments have no whale rate.
 LOOKUPS = {"bundle": ("advertiser_bundle", 3), "category": ("advertiser_category", 3), "country": ("country", 3), "segment": (None, 2)}
 RATES = ["buyer_rate", "avg_rev_d7", "whale_rate"]
-#: Rows of a lookup table that is broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def list_columns(df: DataFrame) -> dict:
@@ -55,8 +54,7 @@ def enrich(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             continue
         table = tables[name].select(F.col("key").alias("_key"), *(F.col(r).alias(f"{name}_{r}") for r in RATES[:n]))
         own = stats.segment_key() if key is None else F.col(key).cast("string")
-        small = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-        out = out.join(small, own == F.col("_key"), "left").drop("_key")
+        out = out.join(hinted(tables[name], table), own == F.col("_key"), "left").drop("_key")
         out = out.withColumns({f"{name}_{r}": F.coalesce(f"{name}_{r}", F.lit(0.0)) for r in RATES[:n]})
     return out
 

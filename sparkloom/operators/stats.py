@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import joined_key
+from sparkloom.operators.settled import settled
 
 WHALE_LOG = 10.0
 
@@ -40,8 +41,8 @@ def lookup_tables(df: DataFrame, whale_threshold: float = WHALE_LOG) -> dict[str
     base = with_targets(df, whale_threshold)
     entries = F.array(*(F.struct(F.lit(name).alias("table"), key.cast("string").alias("key")) for name, key in keys.items()))
     every = base.select(F.explode(entries).alias("e"), "buyer_d7", "iap_revenue_d7", "is_whale").select("e.*", "buyer_d7", "iap_revenue_d7", "is_whale")
-    stats = every.where("key is not null").groupBy("table", "key").agg(*_stats())
-    return {name: stats.where(F.col("table") == name).drop("table") for name in keys}
+    stats = settled(every.where("key is not null").groupBy("table", "key").agg(*_stats()))
+    return {name: settled(stats.where(F.col("table") == name).drop("table"), held=stats.isLocal()) for name in keys}
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
