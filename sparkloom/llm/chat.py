@@ -1,8 +1,8 @@
 """Chat formatting of reply trees.
 
-Messages with a parent form trees.  Level by level, self-joins extend every
-path from a root by its children, so each leaf ends one root-to-leaf path;
-paths are ranked within their tree by the sum of their messages' scores, and
+Messages with a parent form trees.  Iterated self-joins double how far each
+message sees up its tree, so each leaf gets its root-to-leaf path; paths are
+ranked within their tree by the sum of their messages' scores, and
 each chosen path is formatted as one conversation with a loss mask.
 
 Template: ``<s>`` then for each turn ``<|role|>text``, then ``</s>``.  In roles
@@ -11,7 +11,8 @@ control string can occur in them, and dropping those backslashes restores them.
 
 Null roles and texts are empty, null scores zero.  A message whose parent is
 null or missing is a root; messages that only a cycle of parents leads to have
-no root and are in no path.  Messages that repeat an id repeat their paths.
+no root and are in no path.  Messages that repeat an id stand in a path side
+by side.
 """
 
 from __future__ import annotations
@@ -38,20 +39,27 @@ def unescaped(text: Column) -> Column:
 def branches(messages: DataFrame) -> DataFrame:
     """(root, leaf, path, score) of every root-to-leaf path of messages (id, parent, score).
 
-    `path` has the ids from root to leaf.
+    `path` has the ids from root to leaf.  Self-joins double the distance: the
+    k-th table leads 2 ** k messages up, and a leaf's ancestors are reached by
+    sums of such steps, so a path of n messages takes about log2(n) rounds.
     """
     base = kept(messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     ids = base.select(F.col("id").alias("parent")).distinct()
-    roots = base.join(ids, "parent", "left_anti")
-    level = kept(roots.select(F.col("id").alias("root"), F.col("id").alias("leaf"), F.array("id").alias("path"), "score"))
-    children = base.where("parent is not null").select(F.col("parent").alias("leaf"), F.col("id").alias("_child"), F.col("score").alias("_add"))
-    parents = children.select("leaf").distinct()
-    ended = None
-    while not level.isEmpty():
-        done = level.join(parents, "leaf", "left_anti").select("root", "leaf", "path", "score")
-        ended = done if ended is None else ended.unionByName(done)
-        level = kept(level.join(children, "leaf").select("root", F.col("_child").alias("leaf"), F.concat("path", F.array("_child")).alias("path"), (F.col("score") + F.col("_add")).alias("score")))
-    return level if ended is None else ended
+    steps = [kept(base.join(ids, "parent", "left_semi").select(F.col("id").alias("node"), F.col("parent").alias("up")).distinct())]
+    n = base.count()
+    while not steps[-1].isEmpty() and 2 ** (len(steps) - 1) <= n:
+        last = steps[-1]
+        steps.append(kept(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("_far")), "up").select("node", F.col("_far").alias("up"))))
+    # What still leads up after as many steps as there are messages is below a cycle.
+    leaves = ids.select(F.col("parent").alias("leaf")).join(steps[0].select(F.col("up").alias("leaf")).distinct(), "leaf", "left_anti")
+    leaves = leaves.join(steps[-1].select(F.col("node").alias("leaf")), "leaf", "left_anti")
+    reach = kept(leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance")))
+    for k, step in enumerate(steps[:-1]):
+        further = reach.join(step, "node").select("leaf", F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance"))
+        reach = kept(reach.unionByName(further))
+    scored = reach.join(base.select(F.col("id").alias("node"), "score"), "node")
+    paths = scored.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("distance", "node")), asc=False).alias("_steps"), F.sum("score").alias("score"))
+    return paths.select(F.col("_steps")[0]["node"].alias("root"), "leaf", F.col("_steps.node").alias("path"), "score")
 
 
 def chosen(paths: DataFrame, top: int | None = None) -> DataFrame:
