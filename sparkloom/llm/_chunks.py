@@ -76,3 +76,15 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<i8", 1)[0])
     ends = 8 * (n + 1) + np.concatenate(([0], np.cumsum(np.frombuffer(data, "<i8", n, 8))))
     return [np.frombuffer(data[a:b], kind) for a, b, kind in zip(ends.tolist(), ends[1:].tolist(), kinds)]
+
+
+def small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bytes, and those that don't fit."""
+    return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype("<u4")
+
+
+def counts(few: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The counts that small() was given."""
+    out = few.astype(np.int64)
+    out[few == 255] = many
+    return out
