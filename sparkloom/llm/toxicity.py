@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 SPAN, DECAY, ALPHABET = 7, 0.8, 64
 #: Most labelled texts of each class that the machine learns from.
-SAMPLE = 2500
+SAMPLE = 1500
 LANDMARKS, ROUNDS, COST = 400, 5, 10.0
 #: A unit is scored in windows of so many characters, so that a long one doesn't dilute an insult.
 WINDOW = 12
@@ -94,7 +94,7 @@ def _each_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def features(units: list[str], table: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Kernel values of units against landmarks: rows of `columns` by subsequence, through `table`."""
+    """Sums of the rows of `columns`, found through `table`, over the subsequences of each unit, scaled: with landmark_columns, kernel values."""
     out = np.zeros((len(units), columns.shape[1]), np.float32)
     for which, codes in _each_length(units):
         for s in range(0, len(which), 4096):
@@ -128,21 +128,28 @@ def landmark_columns(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps on the active rows; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 1.0)
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), 1.0)
     ridge[-1] = 1e-3
-    loss = lambda w: float(cost * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum())
+    decide = lambda w: x @ w[:-1].astype(np.float32) + np.float32(w[-1])
+    loss = lambda w: float(cost * (weight * np.maximum(0, 1 - y * decide(w)) ** 2).sum(dtype=np.float64) + (ridge * w * w).sum())
     now = loss(w)
     for _ in range(40):
-        active = y * (x @ w) < 1
-        a = x[active] * (cost * weight[active])[:, None]
-        step = np.linalg.solve(x[active].T @ a + np.diag(ridge), a.T @ y[active]) - w
+        active = np.flatnonzero(y * decide(w) < 1)
+        left, right = np.zeros((len(w), len(w))), np.zeros(len(w))
+        for i in range(0, len(active), 2048):
+            rows = active[i : i + 2048]
+            own = np.hstack([x[rows], np.ones((len(rows), 1), np.float32)]).astype(np.float64)
+            scaled = own * (cost * weight[rows])[:, None]
+            left += own.T @ scaled
+            right += scaled.T @ y[rows]
+        step = np.linalg.solve(left + np.diag(ridge), right) - w
         size, new = 1.0, loss(w + step)
         while new > now and size > 1e-3:
             size /= 2
             new = loss(w + size * step)
-        if now - new <= 1e-7 * now:
+        if now - new <= 1e-6 * now:
             break
         w, now = w + size * step, new
     return w[:-1], float(w[-1])
@@ -157,8 +164,10 @@ class Machine:
     slope: float = 1.0
     offset: float = 0.0
 
-    def decide(self, units: list[str]) -> np.ndarray:
+    def decide(self, units: list[str], block: int = 20_000) -> np.ndarray:
         """Decision of each unit: the largest of its windows."""
+        if len(units) > block:
+            return np.concatenate([self.decide(units[i : i + block]) for i in range(0, len(units), block)])
         windows, owner = _windows(units)
         raw = np.full(len(windows), self.bias, np.float64)
         for which, codes in _each_length(windows):
@@ -225,7 +234,7 @@ def _learn(texts: list[tuple[int, list[str]]]) -> Machine | None:
     gram = features(landmarks, table, columns)
     values, vectors = np.linalg.eigh((gram + gram.T).astype(np.float64) / 2)
     good = values > 1e-4 * values[-1]
-    whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+    columns = columns @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)  # kernel values become Nyström features
     met = Counter()
     for w, i in zip(*_windows(known := list(in_clean))):
         if len(w) >= 3:
@@ -240,25 +249,24 @@ def _learn(texts: list[tuple[int, list[str]]]) -> Machine | None:
     signs = [[x for x in u if x in certain] for u in toxic]
     witness = [own or [max(u, key=lambda x: (odds.get(x, -9.0) * np.log1p(in_toxic[x]) if len(x) >= 3 else -99.0, x))] for u, own in zip(toxic, signs)]
     machine = None
-    flat = [x for u in toxic for x in u]
-    bounds = np.concatenate(([0], np.cumsum([len(u) for u in toxic])))
+    open_ = sorted({x for u, sign in zip(toxic, signs) if not sign for x in u})
     for _ in range(ROUNDS):
         positive = Counter(x[:WINDOW] for own in witness for x in own)
         altered = {_inserted(x, rng): n for x, n in sorted(positive.items()) for _ in range(2)}
         own = sorted(held)
         chosen = [negatives[i] for i in own]
         strings = [*positive, *altered, *chosen]
-        x = features(strings, table, columns) @ whiten
+        x = features(strings, table, columns)
         y = np.concatenate([np.ones(len(strings) - len(chosen)), -np.ones(len(chosen))])
         weight = np.concatenate([np.sqrt([*positive.values()]), np.sqrt([*altered.values()]) / 4, often[own]])
         w, bias = svm(x, y, weight)
-        machine = Machine((columns @ (whiten @ w.astype(np.float32)))[table].astype(np.float32), bias)
+        machine = Machine((columns @ w.astype(np.float32))[table].astype(np.float32), bias)
         # Clean units inside the margin join the negatives; toxic texts without a certain sign name their worst unit anew.
         against = machine.decide(negatives)
-        hard = [i for i in np.argsort(-against, kind="stable")[:10_000].tolist() if against[i] > -1 and i not in held]
+        hard = [i for i in np.argsort(-against, kind="stable")[:5_000].tolist() if against[i] > -1 and i not in held]
         held.update(hard)
-        decided = machine.decide(flat)
-        now = [sign or [u[int(np.argmax(decided[a:b]))]] for sign, u, a, b in zip(signs, toxic, bounds, bounds[1:])]
+        decided = dict(zip(open_, machine.decide(open_).tolist()))
+        now = [sign or [max(u, key=decided.__getitem__)] for sign, u in zip(signs, toxic)]
         if now == witness and not hard:
             break
         witness = now
@@ -306,7 +314,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
 
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(run, "doc_id long, toxic int, units array<string>")
     table = found.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    return _learn(list(zip(table["toxic"].to_pylist(), table["units"].to_pylist())))
+    seen: dict[str, str] = {}  # one object for each distinct unit
+    texts: list[tuple[int, list[str]]] = []
+    for i in range(0, table.num_rows, 64):
+        part = table.slice(i, 64)
+        texts += [(y, [seen.setdefault(x, x) for x in units]) for y, units in zip(part["toxic"].to_pylist(), part["units"].to_pylist())]
+    del table
+    return _learn(texts)
 
 
 class Scorer:
