@@ -35,6 +35,8 @@ from sparkloom.llm._chunks import PIECE, by_bucket, chunked, joined, mix, pieces
 LENGTH, GRAM = 50, 20
 #: Starts in one text of a run; a longer run is cut at multiples of it.
 STARTS = 32
+#: Text of a chunk: what it takes in a worker is about 40 times as much.
+CHUNK_BYTES = 4 << 20
 BLOCK = 1 << 16
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST = np.int64((1 << 63) - 1)
@@ -258,9 +260,9 @@ def _answer_shared(key, table):
     return pieces(out)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: doc_id, kept (remaining bytes), spans (maximal removed byte ranges), n_bytes."""
-    base, n = chunked(docs, *([chunk_bytes] if chunk_bytes else []))
+    base, n = chunked(docs, chunk_bytes)
     buckets = n
     width = length + STARTS
 
