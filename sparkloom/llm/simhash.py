@@ -19,7 +19,7 @@ fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -41,23 +41,35 @@ KEYS_PER_TASK = 500_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text (zero without words)."""
+def hashed_shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, a bounded number at a time (none without words)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
     starts, ends = starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_digest
     for i in range(0, n, STRIDE):
         raw = b"".join([digest(line[s:e], 42) for s, e in zip(starts[i : i + STRIDE], ends[i : i + STRIDE])])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        yield np.frombuffer(raw, np.uint64)
+
+
+def simhash(parts: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(BITS, np.int64), 0
+    for part in parts:
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        n += len(part)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a text (zero without words)."""
+    return simhash(hashed_shingles(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
@@ -211,6 +223,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, near: int = NEAR, tile
     return own.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """`docs`, written once, with a key `_row` of each row, as ids may be null or repeated."""
+    return kept(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def one_per_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component in found (row, component) the one of `rows` with the smallest doc_id; a null one only where there is no other."""
+    ids = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    member = kept(found.join(ids, "row").select("component", F.struct(F.col("_id").isNull().alias("none"), "_id", "row").alias("me")))
+    first = member.groupBy("component").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = member.join(first, "component").where("me.row <> first.row").select(F.col("me.row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").drop("_row")
+
+
 def survivors(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """The rows of `docs` whose doc_id is their component's smallest (or null), with all their columns."""
     found = near_duplicates(docs, size, near)

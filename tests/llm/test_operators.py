@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, pitman_yor, registry, sharding, simhash, suffix_dedup, toxicity
+from sparkloom.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, near_copies, pitman_yor, registry, sharding, simhash, suffix_dedup, toxicity
 from sparkloom.llm._graph import components
 
 
@@ -259,6 +259,35 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_as_brute_force(spark):
+    """The stage against all pairs at 0.8, most of them further than 4 bits apart."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [None, "", "one two", "ONE  two", "one two three"]
+    shared = " ".join(f"s{i}" for i in range(12))
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 200))]
+        for _ in range(5):
+            own = list(words)
+            for i in rng.sample(range(len(own)), rng.randrange(1 + len(own) // 30)):
+                own[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own) + rng.choice(["", " " + shared]))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    far = [(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() for i, j in pairs]
+    assert sum(x > 4 for x in far) > 20
+    left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(set(root))
+
+
 # 9
 
 
