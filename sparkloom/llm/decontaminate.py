@@ -8,7 +8,7 @@ to byte offsets of the original text.
 
 Nulls and texts without words have no words and are never contaminated; an
 item without words gives no window; windows that several items share count for
-each of them.
+each of them.  Items with a null item_id are one null, listed last.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm._session import kept
+
 WINDOW = 10
 #: Bytes of window text that one automaton may hold; a larger benchmark is scanned in several passes.
 AUTOMATON_BYTES = 8 << 20
@@ -43,9 +45,9 @@ def windows_of(text: str | None, size: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def automata(items: list[tuple[str, str | None]], size: int = WINDOW, most: int = AUTOMATON_BYTES) -> list[list[tuple[str, str]]]:
+def automata(items: list[tuple[str | None, str | None]], size: int = WINDOW, most: int = AUTOMATON_BYTES) -> list[list[tuple[str, str | None]]]:
     """(window, item) pairs in lists of bounded size, one per automaton."""
-    out: list[list[tuple[str, str]]] = [[]]
+    out: list[list[tuple[str, str | None]]] = [[]]
     held = 0
     for item, text in items:
         own = [(w.decode("latin-1"), item) for w in dict.fromkeys(windows_of(text, size))]
@@ -58,9 +60,9 @@ def automata(items: list[tuple[str, str | None]], size: int = WINDOW, most: int
     return [x for x in out if x]
 
 
-def build(pairs: list[tuple[str, str]]) -> ahocorasick.Automaton:
+def build(pairs: list[tuple[str, str | None]]) -> ahocorasick.Automaton:
     """Automaton over ' window ' strings; a value is (words, length, items)."""
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[str | None]] = {}
     for window, item in pairs:
         found.setdefault(window, []).append(item)
     automaton = ahocorasick.Automaton()
@@ -70,10 +72,10 @@ def build(pairs: list[tuple[str, str]]) -> ahocorasick.Automaton:
     return automaton
 
 
-def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+def scan(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
     """Which words lie in a window's occurrence, and the items whose windows occur."""
     hit = np.zeros(len(words) + 1, np.int32)
-    items: set[str] = set()
+    items: set[str | None] = set()
     line = f" {b' '.join(words).decode('latin-1')} "
     ends = None
     for end, (n, _, own) in automaton.iter(line):
@@ -103,7 +105,7 @@ SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans arra
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _scanner(pairs: list[tuple[str, str]]):
+def _scanner(pairs: list[tuple[str, str | None]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build(pairs) if pairs else None
         for batch in batches:
@@ -114,7 +116,7 @@ def _scanner(pairs: list[tuple[str, str]]):
                 if automaton is not None and words:
                     hit, found = scan(automaton, words)
                     if found:
-                        n_hit, items = int(hit.sum()), sorted(found)
+                        n_hit, items = int(hit.sum()), sorted(found, key=lambda x: (x is None, x or ""))
                         spans = [{"start": a, "end": b} for a, b in spans_of(flat, words, hit)]
                 for column, x in zip(rows, (len(words), n_hit, items, spans)):
                     column.append(x)
@@ -123,38 +125,42 @@ def _scanner(pairs: list[tuple[str, str]]):
     return run
 
 
+def items_of(benchmark: DataFrame) -> list[tuple[str | None, str | None]]:
+    """(item_id, text) of all items, also of those with a null item_id."""
+    return [(None if r[0] is None else str(r[0]), r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted), spans (original bytes).
 
     The benchmark, a test set, is read by the driver; its windows are dealt to
     automata of bounded size.  With one automaton the scan is a map without a
-    shuffle; with more, each scans all documents and their hit words are
-    united per document.
+    shuffle; with more, each scans all documents, which are written once with a
+    key of each row, and their hit words are united per row.
     """
-    items = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").toLocalIterator() if r[0] is not None]
-    dealt = automata(items, size, most) or [[]]
+    dealt = automata(items_of(benchmark), size, most) or [[]]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if len(dealt) == 1:
         return base.mapInArrow(_scanner(dealt[0]), SCHEMA)
-    parts = [base.mapInArrow(_scanner(pairs), SCHEMA) for pairs in dealt]
+    rows = kept(base.withColumn("_row", F.monotonically_increasing_id()))
+    parts = [rows.select("_row", "text").mapInArrow(_scanner(pairs), SCHEMA) for pairs in dealt]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     # Byte spans of different automata may overlap: they are merged before words are counted again.
-    merged = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return base.join(merged, "doc_id").mapInArrow(_recount, SCHEMA)
+    merged = union.where("n_hit > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return rows.join(merged, "_row", "left").select("doc_id", "text", *(F.coalesce(c, F.array()).alias(c) for c in ("items", "spans"))).mapInArrow(_recount, SCHEMA)
 
 
 def survivors(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
     """The rows of `docs` in whose text no window occurs, with all their columns; a filter without a shuffle."""
-    items = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").toLocalIterator() if r[0] is not None]
     out = docs
-    for pairs in automata(items, size, most):
+    for pairs in automata(items_of(benchmark), size, most):
         out = out.where(~_occurs(pairs)(F.col("text")))
     return out
 
 
-def _occurs(pairs: list[tuple[str, str]]):
+def _occurs(pairs: list[tuple[str, str | None]]):
     @F.pandas_udf("boolean")
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = build(pairs)

@@ -114,6 +114,22 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_row(spark):
+    """One automaton or several: null and repeated ids, and items without an id, count alike."""
+    item = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([("q1", item), (None, "red green blue"), ("q2", "green blue black"), (None, "left right")], "item_id string, text string")
+    rows = [(None, "x " + item), (None, "a red green blue black z"), (5, item + " and left right"), (5, "no"), (6, "left right"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    answers = []
+    for most in (1 << 20, 20):
+        found = decontaminate.contamination(docs, benchmark, most=most).collect()
+        answers.append(sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["spans"]) for r in found), key=repr))
+        left = decontaminate.survivors(docs, benchmark, most=most).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in left) == [(5, "no"), (7, None)]
+    assert answers[0] == answers[1]
+    assert sorted(((x[0], x[1], x[2], x[3]) for x in answers[0]), key=repr) == sorted([(None, 11, 10, ["q1"]), (None, 6, 4, ["q2", None]), (5, 13, 12, ["q1", None]), (5, 1, 0, []), (6, 2, 2, [None]), (7, 0, 0, [])], key=repr)
+
+
 # 4
 
 
