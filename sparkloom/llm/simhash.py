@@ -238,10 +238,10 @@ def one_per_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
-    """The rows of `docs` whose doc_id is their component's smallest (or null), with all their columns."""
-    found = near_duplicates(docs, size, near)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
+    """One row of `docs` for each component, with all its columns: that with the smallest doc_id."""
+    rows = with_rows(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size, near)
+    return one_per_component(rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,16 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_a_component(spark):
+    """Ids that are null or repeated don't decide for other rows."""
+    a, b = "a b c d e f", "u v w x y z"
+    rows = [(1, a), (2, a), (2, b), (1, a), (None, a), (None, "null null only here"), (None, "NULL null only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for left in (simhash.survivors(docs), near_copies.survivors(docs)):
+        found = left.collect()
+        assert sorted((str(r["doc_id"]), r["text"].lower()) for r in found) == [("1", a), ("2", b), ("None", "null null only here")]
+
+
 def test_near_copies_as_brute_force(spark):
     """The stage against all pairs at 0.8, most of them further than 4 bits apart."""
     import corpus_pipeline
