@@ -37,6 +37,8 @@ BITS, NEAR, SHINGLE, TILE = 64, 4, 4, 4096
 STRIDE = 1 << 16
 #: Rows of (key, fingerprint) in one partition of the block join.
 KEYS_PER_TASK = 500_000
+#: Rows (of a few longs) that a join broadcasts; more are shuffled.
+BROADCAST = 500_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -223,6 +225,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, near: int = NEAR, tile
     return own.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def few(table: DataFrame) -> DataFrame:
+    """`table`, written once, for a join that broadcasts it if it has few rows."""
+    table = kept(table)
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """`docs`, written once, with a key `_row` of each row, as ids may be null or repeated."""
     return kept(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -234,7 +242,7 @@ def one_per_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     member = kept(found.join(ids, "row").select("component", F.struct(F.col("_id").isNull().alias("none"), "_id", "row").alias("me")))
     first = member.groupBy("component").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = member.join(first, "component").where("me.row <> first.row").select(F.col("me.row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    return rows.join(few(gone), "_row", "left_anti").drop("_row")
 
 
 def survivors(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
