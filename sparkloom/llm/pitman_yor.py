@@ -6,8 +6,9 @@ restaurant, whose new tables order from the parent; the parent's new tables
 order from a continuous base, so each known token has one table there and what
 is left is the probability of the one unknown token.
 
-A token that follows a context once sits at one table.  All others are seated
-by Gibbs sampling: a customer leaves its table and sits down again by the
+A token that follows a context once sits at one table.  All others start at
+about their expected tables and are seated by Gibbs sampling, ``MOVES`` random
+customers of each token a sweep, whatever its count: a customer leaves its table and sits down again by the
 Chinese-restaurant rule, and predictive probabilities are averaged over the
 seatings after the burn-in.  Discounts come from the numbers of singletons and
 pairs.  Restaurants are sampled in parallel, and so are the tokens of a
