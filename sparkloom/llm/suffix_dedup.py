@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by longest-previous-factor arrays.
+"""Removal of long repeated byte strings by grouping sorted suffixes.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts in a
 document with a smaller doc_id is removed; strings are those of the input.
@@ -12,9 +12,9 @@ document with a smaller doc_id is removed; strings are those of the input.
    the smallest doc_id that has it, to the anchor's bucket, where all copies of
    all its strings meet.
 4. The bucket sorts the suffixes that start a string, to the length that
-   matters, ties by document, and takes the longest previous factor from the
-   previous and next suffix of a smaller document: strings with one of full
-   length get the smallest document that has them.
+   matters, and gives each group of equal strings the smallest document that
+   has them.  A string has a previous factor of full length in an earlier
+   document exactly if that is smaller than its own; no shorter factors are made.
 5. The chunk marks the covered bytes of each document.
 
 A text travels to Python once per pass and is shuffled once.  A passage that a
