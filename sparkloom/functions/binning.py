@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.nested import col
+from sparkloom.operators.ranks import quantile_values
 
 
 def cut(c: str | Column, edges: list[float]) -> Column:
@@ -24,8 +25,7 @@ def cut(c: str | Column, edges: list[float]) -> Column:
 
 def quantile_edges(df: DataFrame, c: str, q: int) -> list[float]:
     """Distinct linearly interpolated quantiles 0, 1/q, ..., 1 (q + 1 numbers at most, so they go to the driver)."""
-    row = df.agg(F.percentile(F.col(c).cast("double"), [i / q for i in range(q + 1)])).first()[0]
-    return sorted(set(row)) if row else []
+    return sorted({x for x in quantile_values(df, c, [i / q for i in range(q + 1)]) if x is not None})
 
 
 def qcut(df: DataFrame, c: str, q: int, name: str) -> DataFrame:

@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import MISSING, UNKNOWN_CODE
+from sparkloom.operators.ranks import running
 from sparkloom.operators.settled import hinted, settled
 
+
+def _numbered(values: DataFrame, order: list[str], group: tuple[str, ...] = ()) -> DataFrame:
+    """`values` with a code: how many of its group come before it."""
+    found = running(values.withColumn("_one", F.lit(1)), order, ["_one"], group)
+    return settled(found.select(*values.columns, F.col("_one_before").cast("int").alias("code")))
+
+
 def fit_codes(df: DataFrame, c: str) -> DataFrame:
     """(value, code): distinct non-null values in string order, numbered from 0."""
     values = df.select(F.col(c).cast("string").alias("value")).where("value is not null").distinct()
-    return settled(values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1))
+    return _numbered(settled(values), ["value"])
+
+
+def first_seen_codes(df: DataFrame, c: str, order: str) -> DataFrame:
+    """(value, code): distinct non-null values numbered from 0 by their first row in `order`, ties by value."""
+    firsts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.min(order).alias("_first"))
+    return _numbered(settled(firsts), ["_first", "value"]).drop("_first")
 
 
 def fit_encoders(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code) of several columns in one scan; columns without values have no rows."""
     entries = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns if c in df.columns))
     values = df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null").distinct()
-    return settled(values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1))
+    return _numbered(settled(values), ["value"], ("column",))
 
 
 def apply_codes(df: DataFrame, c: str, codes: DataFrame, name: str | None = None) -> DataFrame:
@@ -44,8 +57,8 @@ def label_encode(df: DataFrame, c: str, name: str) -> DataFrame:
 
 
 def map_values(df: DataFrame, c: str, table: DataFrame, name: str) -> DataFrame:
-    """`df` with the (key, value) table's value of `c`, null on a miss."""
-    pairs = table.select(F.col("key").alias("_key"), F.col("value").alias(name))
+    """`df` with the (key, value) table's value of `c`, null on a miss; of a repeated key the smallest value, so rows stay as they are."""
+    pairs = table.groupBy(F.col("key").alias("_key")).agg(F.min("value").alias(name))
     return df.join(pairs, F.col(c) == F.col("_key"), "left").drop("_key")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkloom.functions.nested import col
+from sparkloom.operators.ranks import running
 
 
 def gate(p: str | Column, log_revenue: str | Column, threshold: float = 0.5, strict: bool = False) -> Column:
@@ -57,30 +57,35 @@ def regressor_report(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(*(c.alias(n) for n, c in regression_aggregates(y, p).items()))
 
 
+def confusion(y: str, p: str, threshold: float = 0.5) -> dict[str, Column]:
+    said, true = F.col(p) >= threshold, F.col(y) == 1
+    return {"tp": F.count_if(said & true), "fp": F.count_if(said & ~true), "fn": F.count_if(~said & true), "tn": F.count_if(~said & ~true)}
+
+
+def rates() -> dict[str, Column]:
+    """The counts tp, fp, fn and tn, and what follows from them."""
+    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return {"tp": tp, "fp": fp, "fn": fn, "tn": tn, "precision": safe(tp, tp + fp), "recall": safe(tp, tp + fn), "f1": safe(2 * tp, 2 * tp + fp + fn), "accuracy": F.try_divide(tp + tn, n), "pos_rate_true": F.try_divide(tp + fn, n), "pos_rate_pred": F.try_divide(tp + fp, n)}
+
+
 def classifier_report(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
     """precision, recall, f1 (0 where undefined), accuracy and positive rates in one aggregate."""
-    said, true = F.col(p) >= threshold, F.col(y) == 1
-    c = df.agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn"))
-    c = c.select("*", F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0)).alias("recall"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"))
-    return c.select("tp", "fp", "fn", "tn", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"), F.try_divide(F.col("tp") + F.col("tn"), "n").alias("accuracy"), F.try_divide(F.col("tp") + F.col("fn"), "n").alias("pos_rate_true"), F.try_divide(F.col("tp") + F.col("fp"), "n").alias("pos_rate_pred"))
+    counts = df.agg(*(c.alias(n) for n, c in confusion(y, p, threshold).items()))
+    return counts.select(*(c.alias(n) for n, c in rates().items()))
 
 
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Positives and rows of each distinct score, and of all higher scores, the highest first.
+    """Positives and rows of each distinct score, and of all scores from it upwards.
 
-    Scores are dealt into ranges by the leading bits of their order, and sums
-    over ranges are made first, so no window holds all scores.
+    Distinct scores are summed within drawn ranges, so no window holds all of
+    them however they crowd.  Rows without a score or label are left out; NaN
+    is above every number.
     """
     own = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    bounds = own.agg(F.min("_s"), F.max("_s")).first()
-    low, high = bounds[0] or 0.0, bounds[1] or 0.0
-    width = (high - low) / 256 or 1.0
-    own = own.withColumn("_range", F.floor((F.lit(high) - F.col("_s")) / F.lit(width)).cast("int"))
-    sums = own.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
-    w = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_range", F.coalesce(F.sum("_p").over(w), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"))
-    inner = Window.partitionBy("_range").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    return own.withColumns({"_p1": F.sum("pos").over(inner), "_n1": F.sum("n").over(inner)}).join(F.broadcast(before), "_range").select("_s", "pos", "n", (F.col("_p1") + F.col("_p0")).alias("cum_pos"), (F.col("_n1") + F.col("_n0")).alias("cum_n"))
+    found = running(own, ["_s"], ["pos", "n"])
+    return found.select("_s", "pos", "n", (F.col("pos_total") - F.col("pos_before")).alias("cum_pos"), (F.col("n_total") - F.col("n_before")).alias("cum_n"))
 
 
 def auc_roc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -103,11 +108,9 @@ def two_stage_report(df: DataFrame, buyer: str, p: str, revenue: str, log_revenu
     """cls_ metrics of the probability, reg_ of the revenue alone, final_ of their product."""
     scored = df.withColumns({"_final": product(p, log_revenue), "_reg": F.greatest(F.expm1(F.col(log_revenue)), F.lit(0.0))})
     prefixed = lambda report, prefix: report.select(*(F.col(c).alias(f"{prefix}{c}") for c in report.columns))
-    parts = [prefixed(classifier_report(df, buyer, p), "cls_"), prefixed(regressor_report(scored, revenue, "_final"), "final_"), prefixed(regressor_report(scored, revenue, "_reg"), "reg_")]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    final, alone = ({f"{prefix}{n}": c for n, c in regression_aggregates(revenue, p).items()} for prefix, p in (("final_", "_final"), ("reg_", "_reg")))
+    counts = scored.agg(*(c.alias(n) for n, c in (confusion(buyer, p) | final | alone).items()))
+    return counts.select(*(c.alias(f"cls_{n}") for n, c in rates().items()), *final, *alone)
 
 
 def compared(reports: dict[str, DataFrame]) -> DataFrame:

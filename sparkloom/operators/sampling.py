@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.binning import cut, qcut
+from sparkloom.operators.ranks import draws, kth
 
 BINS, WEIGHTS = [0.0, 1.0, 3.0, 6.0, 10.0, math.inf], [0.3, 1.0, 2.0, 3.0, 10.0]
-#: Hash buckets of a bin in which rows are ranked before the bins' ranks are made of them.
-PARTS = 64
+#: Draws with replacement that one row of the plan stands for.
+LOT = 100_000
 
 
 def hashed(key: str, seed: int) -> Column:
@@ -33,26 +34,29 @@ def sample_plan(df: DataFrame, revenue: str = "iap_revenue_d7", bins: list[float
 
 
 def _ranked(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    """`df` with _rank from 1 within each group, by hash; no window holds a whole group."""
-    own = df.withColumn("_hash", hashed(key, seed)).withColumn("_part", F.shiftrightunsigned("_hash", 58))
+    """`df` with _rank from 1 within each group, by hash; the parts of a group that windows hold follow the number of rows."""
+    bits = draws(df.count()).bit_length() - 1
+    own = df.withColumn("_hash", hashed(key, seed)).withColumn("_part", F.shiftrightunsigned("_hash", 64 - bits))
     sizes = own.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_hash", key))
-    return own.withColumn("_within", within).join(F.broadcast(before), [group, "_part"]).withColumn("_rank", F.col("_within") + F.col("_before")).drop("_within", "_before", "_part", "_hash")
+    return own.withColumn("_within", within).join(before, [group, "_part"]).withColumn("_rank", F.col("_within") + F.col("_before")).drop("_within", "_before", "_part", "_hash")
 
 
 def bin_sample(df: DataFrame, key: str, revenue: str = "iap_revenue_d7", bins: list[float] = BINS, weights: list[float] = WEIGHTS, seed: int = 42) -> DataFrame:
     """floor(n * weight) rows of each bin: without replacement up to weight 1, else with.
 
-    Draws with replacement are made per bin as hashed row numbers and joined to
-    the rows by bin and number.  Rows outside the bins are left out.
+    Draws with replacement are made, a bounded number in one row, as hashed row
+    numbers and joined to the rows by bin and number.  Rows outside the bins are
+    left out.
     """
     plan = F.broadcast(sample_plan(df, revenue, bins, weights))
     ranked = _ranked(df.withColumn("bin", cut(revenue, bins)).where("bin is not null"), "bin", key, seed)
     without = ranked.join(plan, "bin").where("weight <= 1 and _rank <= n_samples").select(*df.columns, "bin")
-    draws = plan.where("weight > 1 and n_samples > 0").select("bin", "n_original", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_samples"))).alias("_draw"))
-    draws = draws.select("bin", (F.pmod(F.xxhash64("bin", "_draw", F.lit(seed)), F.col("n_original")) + 1).alias("_rank"))
-    again = draws.join(ranked, ["bin", "_rank"]).select(*df.columns, "bin")
+    lots = plan.where("weight > 1 and n_samples > 0").select("bin", "n_original", "n_samples", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_samples"), F.lit(LOT).cast("long"))).alias("_from")).repartition("bin", "_from")
+    each = lots.select("bin", "n_original", F.explode(F.sequence("_from", F.least(F.col("_from") + LOT - 1, F.col("n_samples")))).alias("_draw"))
+    drawn = each.select("bin", (F.pmod(F.xxhash64("bin", "_draw", F.lit(seed)), F.col("n_original")) + 1).alias("_rank"))
+    again = drawn.join(ranked, ["bin", "_rank"]).select(*df.columns, "bin")
     return without.unionByName(again)
 
 
@@ -77,19 +81,13 @@ def oversample(df: DataFrame, condition: Column, times: int) -> DataFrame:
 
 
 def ordered_split(df: DataFrame, by: str, key: str, fraction: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """The first floor(fraction * n) rows in the order of (by, key), and the rest.
+    """The first floor(fraction * n) rows in the order of (by, key), nulls first, and the rest.
 
-    The key at the boundary is found by counting per value of `by`, so rows
-    that share one value are all that is ever ordered.
+    The row at the boundary is found by counting; rows that are level with it
+    are in the rest, and every row is in one of the two.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n = math.floor(fraction * total)
-    upto = 0
-    for value, own in ((r[0], r[1]) for r in counts.orderBy(by).toLocalIterator()):
-        if upto + own > n:
-            edge = df.where(F.col(by).eqNullSafe(F.lit(value))).select(key).orderBy(key).offset(n - upto).limit(1).first()[0]
-            first = (F.col(by) < F.lit(value)) | ((F.col(by) == F.lit(value)) & (F.col(key) < F.lit(edge)))
-            return df.where(first), df.where(~first)
-        upto += own
-    return df, df.where(F.lit(False))
+    edge = kth(df, [by, key], math.floor(fraction * df.count()))
+    if edge is None:
+        return df, df.where(F.lit(False))
+    first = F.struct(by, key) < edge
+    return df.where(first), df.where(~first)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +10,36 @@ from pyspark.sql import functions as F
 MOST_ROWS = 200_000
 
 
-def settled(df: DataFrame, most: int = MOST_ROWS, held: bool = True) -> DataFrame:
+def settled(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """`df` as a local relation if it has at most `most` rows, else `df` itself.
 
     One job checks the size and fetches the rows, so that joins with them don't
     compute them again.
     """
-    if not held:
-        return df
     table = df.limit(most + 1).toArrow()
     return df.sparkSession.createDataFrame(table, df.schema) if table.num_rows <= most else df
 
 
+def settled_by(df: DataFrame, column: str, values: list[str], most: int = MOST_ROWS) -> dict[str, DataFrame]:
+    """The part of `df` for each of the values, without the column; each part of at most `most` rows is local.
+
+    One job counts, one fetches all small parts; a large part is left to its
+    own plan, where the filter on the column is pushed to the scan.
+    """
+    size = {r[0]: r[1] for r in df.groupBy(column).count().collect()}
+    small = [v for v in values if size.get(v, 0) <= most]
+    spark, schema = df.sparkSession, df.drop(column).schema
+    held = df.where(F.col(column).isin(small)).toArrow() if small else None
+    out = {}
+    for v in values:
+        if v in small:
+            own = held.filter(pc.equal(held[column], v)).drop_columns([column])
+            out[v] = spark.createDataFrame(own, schema)
+        else:
+            out[v] = df.where(F.col(column) == v).drop(column)
+    return out
+
+
 def hinted(df: DataFrame, part: DataFrame | None = None) -> DataFrame:
     """`part` (or `df`) for a join: broadcast if `df` is settled, else left to a shuffle."""
     own = df if part is None else part

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import joined_key
-from sparkloom.operators.settled import settled
+from sparkloom.operators.ranks import quantile_values, quantiles_by
+from sparkloom.operators.settled import settled_by
 
 WHALE_LOG = 10.0
 
@@ -41,8 +42,44 @@ def lookup_tables(df: DataFrame, whale_threshold: float = WHALE_LOG) -> dict[str
     base = with_targets(df, whale_threshold)
     entries = F.array(*(F.struct(F.lit(name).alias("table"), key.cast("string").alias("key")) for name, key in keys.items()))
     every = base.select(F.explode(entries).alias("e"), "buyer_d7", "iap_revenue_d7", "is_whale").select("e.*", "buyer_d7", "iap_revenue_d7", "is_whale")
-    stats = settled(every.where("key is not null").groupBy("table", "key").agg(*_stats()))
-    return {name: settled(stats.where(F.col("table") == name).drop("table"), held=stats.isLocal()) for name in keys}
+    return settled_by(every.where("key is not null").groupBy("table", "key").agg(*_stats()), "table", list(keys))
+
+
+def out_of_fold(df: DataFrame, key: str, row: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """`df` with buyer_rate and avg_rev_d7 of its key over the rows of the other folds (null where they have none).
+
+    A row's fold is a hash of the column `row`, so no row's own target is in its
+    rates.  Sums per key and fold are made first; a key meets `folds` rows.
+    """
+    own = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(row), F.lit(seed)), F.lit(folds)))
+    sums = own.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), "_fold").agg(F.count("buyer_d7").alias("n"), F.sum("buyer_d7").alias("b"), F.sum("iap_revenue_d7").alias("r"))
+    whole = sums.groupBy("_key").agg(*(F.sum(c).alias(f"{c}0") for c in "nbr"))
+    rest = sums.join(whole, "_key").select("_key", F.col("_fold").alias("_own"), F.try_divide(F.col("b0") - F.col("b"), F.col("n0") - F.col("n")).alias("buyer_rate"), F.try_divide(F.col("r0") - F.col("r"), F.col("n0") - F.col("n")).alias("avg_rev_d7"))
+    return own.join(rest, (F.col(key) == F.col("_key")) & (F.col("_fold") == F.col("_own")), "left").drop("_key", "_own", "_fold")
+
+
+def filled(df: DataFrame, constants: dict | None = None, means: list[str] | None = None) -> DataFrame:
+    """`df` with missing values of columns replaced: by a constant of their own, or by the mean of the column."""
+    means = [c for c in means or [] if c in df.columns]
+    average = df.agg(*(F.avg(c).alias(c) for c in means)).first().asDict() if means else {}
+    values = {c: v for c, v in (constants or {}).items() if c in df.columns} | {c: v for c, v in average.items() if v is not None}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()}) if values else df
+
+
+def n_unique(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): distinct non-null values of each column; they are counted in groups, not in one buffer."""
+    entries = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null").distinct().groupBy("column").agg(F.count("*").alias("n"))
+
+
+def tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows in the order of the columns."""
+    return df.orderBy(*(F.desc(c) for c in order)).limit(n)
+
+
+def group_means(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Mean of each column in each group."""
+    return df.groupBy(by).agg(*(F.avg(c).alias(c) for c in columns))
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -78,14 +115,13 @@ def drop_sparse(df: DataFrame, most: float = 1.0) -> DataFrame:
 
 def describe(df: DataFrame, c: str) -> DataFrame:
     x = F.col(c).cast("double")
-    q = F.percentile(x, [0.25, 0.5, 0.75])
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max")).select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    low, middle, high = (F.lit(v).cast("double") for v in quantile_values(df, c, [0.25, 0.5, 0.75]))
+    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).select("count", "mean", "std", "min", low.alias("q25"), middle.alias("q50"), high.alias("q75"), "max")
 
 
 def quantiles(df: DataFrame, c: str, at: list[float]) -> DataFrame:
-    """(q, value), linearly interpolated."""
-    row = df.agg(F.percentile(F.col(c).cast("double"), at).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("v").alias("value"))).alias("e")).select(F.col("e.q").alias("q"), F.col("e.value").alias("value"))
+    """(q, value), linearly interpolated; no rows without values."""
+    return quantiles_by(df, c, at)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -122,7 +158,7 @@ def target_encoding(df: DataFrame, c: str, target: str, min_samples: int = 200)
 
 def whale_rate(df: DataFrame, c: str, revenue: str = "iap_revenue_d7", q: float = 0.8) -> DataFrame:
     """(c, whale_rate): share of rows at or above the quantile of revenue."""
-    threshold = df.agg(F.percentile(F.col(revenue), q)).first()[0]
+    threshold = quantile_values(df, revenue, [q])[0]
     return df.where(F.col(c).isNotNull()).groupBy(c).agg(F.avg((F.col(revenue) >= F.lit(threshold)).cast("int")).alias("whale_rate"))
 
 
@@ -140,8 +176,9 @@ def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> Data
 
 
 def box(df: DataFrame, by: str, c: str) -> DataFrame:
-    q = F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75])
-    return df.groupBy(by).agg(q.alias("q"), F.min(c).alias("low"), F.max(c).alias("high")).select(by, "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
+    """Smallest value, quartiles and largest value of each group that has values."""
+    names = {0.0: "low", 0.25: "q25", 0.5: "q50", 0.75: "q75", 1.0: "high"}
+    return quantiles_by(df, c, list(names), (by,)).groupBy(by).agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in names.items()))
 
 
 def schema_difference(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
