@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import MISSING, UNKNOWN_CODE
 from sparkloom.operators.ranks import running
@@ -12,8 +13,10 @@ from sparkloom.operators.settled import hinted, settled
 
 def _numbered(values: DataFrame, order: list[str], group: tuple[str, ...] = ()) -> DataFrame:
     """`values` with a code: how many of its group come before it."""
+    if values.isLocal():  # few
+        return settled(values.withColumn("code", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1))
     found = running(values.withColumn("_one", F.lit(1)), order, ["_one"], group)
-    return settled(found.select(*values.columns, F.col("_one_before").cast("int").alias("code")))
+    return found.select(*values.columns, F.col("_one_before").cast("int").alias("code"))
 
 
 def fit_codes(df: DataFrame, c: str) -> DataFrame:

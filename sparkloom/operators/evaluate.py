@@ -113,10 +113,10 @@ def two_stage_report(df: DataFrame, buyer: str, p: str, revenue: str, log_revenu
     return counts.select(*(c.alias(f"cls_{n}") for n, c in rates().items()), *final, *alone)
 
 
-def compared(reports: dict[str, DataFrame]) -> DataFrame:
-    """(model, metric, value) of one-row reports, as for a teacher and its student."""
+def compared(reports: Iterable[tuple[str, DataFrame]]) -> DataFrame:
+    """(model, metric, value) of named one-row reports, as for a teacher and its student."""
     out = None
-    for name, report in reports.items():
+    for name, report in reports:
         long = report.select(F.lit(name).alias("model"), F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in report.columns))).alias("e")).select("model", "e.*")
         out = long if out is None else out.unionByName(long)
     return out

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import evaluate, sampling, stats
@@ -46,20 +47,44 @@ def load(path: str, features: list[str], probability: bool = True) -> TwoStage:
     return TwoStage(PipelineModel.load(f"{path}/buyer"), PipelineModel.load(f"{path}/revenue"), features, probability)
 
 
-def _fitted(df: DataFrame, features: list[str], learner) -> PipelineModel:
+@dataclass(frozen=True)
+class Boosting:
+    """How trees are boosted: their number and depth, the learning rate, the share of rows of each, and whether validation rows stop it."""
+
+    trees: int = 20
+    depth: int = 5
+    rate: float = 0.1
+    subsample: float = 1.0
+    tolerance: float = 0.01
+    seed: int = 42
+
+    def of(self, learner, **columns):
+        return learner(maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.subsample, validationTol=self.tolerance, seed=self.seed, featuresCol="_features", **columns)
+
+
+def _fitted(df: DataFrame, features: list[str], learner, boosting: Boosting, validation: DataFrame | None = None, **columns) -> PipelineModel:
+    """Model of the rows of `df`; rows of `validation` only tell when to stop."""
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    return PipelineModel([assembler, learner.setFeaturesCol("_features").fit(assembler.transform(df))])
+    if validation is not None:
+        df = df.withColumn("_stop", F.lit(False)).unionByName(validation.withColumn("_stop", F.lit(True)), allowMissingColumns=True)
+        columns["validationIndicatorCol"] = "_stop"
+    return PipelineModel([assembler, boosting.of(learner, **columns).fit(assembler.transform(df))])
 
 
-def fit_teachers(df: DataFrame, features: list[str], trees: int = 20, depth: int = 5, key: str = "row_id", bins: list[float] = sampling.BINS, weights: list[float] = sampling.WEIGHTS, seed: int = 42) -> TwoStage:
-    """Class-weighted classifier, and a regressor of log revenue on the bin-weighted sample."""
+def fit_teachers(df: DataFrame, features: list[str], boosting: Boosting = Boosting(), validation: DataFrame | None = None, key: str = "row_id", bins: list[float] = sampling.BINS, weights: list[float] = sampling.WEIGHTS) -> TwoStage:
+    """Class-weighted classifier, and a regressor of log revenue on the bin-weighted sample.
+
+    With validation rows, boosting stops where they no longer gain.
+    """
     base = stats.with_targets(df).na.fill(0.0, subset=features)
+    check = stats.with_targets(validation).na.fill(0.0, subset=features) if validation is not None else None
     counts = {r[0]: r[1] for r in base.groupBy("buyer_d7").count().collect()}
     total = sum(counts.values())
     weight = F.element_at(F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (2.0 * n))))), F.col("buyer_d7"))
-    buyer = _fitted(base.withColumn("_weight", weight), features, GBTClassifier(labelCol="buyer_d7", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=seed))
-    drawn = sampling.bin_sample(base, key, "iap_revenue_d7", bins, weights, seed)
-    revenue = _fitted(drawn, features, GBTRegressor(labelCol="log_rev_d7", maxIter=trees, maxDepth=depth, seed=seed))
+    weighted = lambda x: x.withColumn("_weight", F.coalesce(weight, F.lit(1.0)))
+    buyer = _fitted(weighted(base), features, GBTClassifier, boosting, weighted(check) if check is not None else None, labelCol="buyer_d7", weightCol="_weight")
+    drawn = sampling.bin_sample(base, key, "iap_revenue_d7", bins, weights, boosting.seed)
+    revenue = _fitted(drawn, features, GBTRegressor, boosting, check, labelCol="log_rev_d7")
     return TwoStage(buyer, revenue, features)
 
 
@@ -68,10 +93,30 @@ def soft_labels(teachers: TwoStage, df: DataFrame) -> DataFrame:
     return scored.select("row_id", "p_buyer", "log_rev", F.col("buyer_d7").cast("double").alias("y_buyer"), F.col("log_rev_d7").alias("y_log_rev"))
 
 
-def fit_students(df: DataFrame, labels: DataFrame, features: list[str], alpha: float = 0.8, trees: int = 10, depth: int = 4, seed: int = 42) -> TwoStage:
+def fit_students(df: DataFrame, labels: DataFrame, features: list[str], boosting: Boosting = Boosting(10, 4), alpha: float = 0.8) -> TwoStage:
     """Two small regressors of the blend of teacher outputs and truth, joined by row_id."""
     own = df.join(labels, "row_id").na.fill(0.0, subset=features)
     own = own.withColumns({"_p": evaluate.blend("p_buyer", "y_buyer", alpha), "_r": evaluate.blend("log_rev", "y_log_rev", alpha)})
-    buyer = _fitted(own, features, GBTRegressor(labelCol="_p", maxIter=trees, maxDepth=depth, seed=seed))
-    revenue = _fitted(own, features, GBTRegressor(labelCol="_r", maxIter=trees, maxDepth=depth, seed=seed))
+    buyer, revenue = (_fitted(own, features, GBTRegressor, boosting, labelCol=label) for label in ("_p", "_r"))
     return TwoStage(buyer, revenue, features, probability=False)
+
+
+def kept_model(folder: str, key: str, features: list[str], fit, rebuild: bool = False, probability: bool = True) -> TwoStage:
+    """The models stored under `key`, which names windows, features and settings; fitted and stored if they are not there."""
+    path = f"{folder}/{key}"
+    if not rebuild and _exists(f"{path}/revenue/metadata"):
+        return load(path, features, probability)
+    models = fit()
+    models.save(path)
+    return models
+
+
+def _exists(path: str) -> bool:
+    """Whether a path of any store that Spark reads is there."""
+    try:
+        SparkSession.active().read.text(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 RANGE, MOST_RANGES = 100_000, 1024
 #: Bounds that one pass of kth() counts around.
 BOUNDS = 63
+#: Of approximate quantiles, whose ranks are wrong by at most n / ACCURACY.
+ACCURACY = 10_000
 
 
 def _literal(row, schema) -> Column:
@@ -79,27 +81,49 @@ def kth(df: DataFrame, order: list[str], k: int, few: int = 10_000) -> Column |
     return None if found is None else _literal(found["me"], schema)
 
 
-def quantiles_by(df: DataFrame, c: str, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, q, value): linearly interpolated quantiles of the non-null values of `c` in each group that has some.
-
-    Values are counted first; what meets in one place are two values for each
-    quantile.
-    """
-    counts = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    ranked = running(counts, ["_x"], ["_n"], by)
+def _quantiles(counts: DataFrame, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, q, value) of counted values (*by, _x, _in, _n); null where a value is needed whose _in is false."""
+    ranked = running(counts, ["_x", "_in"], ["_n"], by)
     place = lambda q: F.lit(float(q)) * (F.col("_n_total") - 1)
     holds = lambda k: (k >= F.col("_n_before")) & (k < F.col("_n_before") + F.col("_n"))
     ends = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.floor(place(q)).alias("low"), F.ceil(place(q)).alias("high"), place(q).alias("at")) for q in at))
-    met = ranked.withColumn("_ends", F.filter(ends, lambda e: holds(e["low"]) | holds(e["high"]))).where(F.size("_ends") > 0).select(*by, "_x", "_n", "_n_before", F.explode("_ends").alias("_e"))
+    met = ranked.withColumn("_ends", F.filter(ends, lambda e: holds(e["low"]) | holds(e["high"]))).where(F.size("_ends") > 0).select(*by, F.when(F.col("_in"), F.col("_x")).alias("_x"), "_n", "_n_before", F.explode("_ends").alias("_e"))
     of = lambda end: F.max(F.when(holds(F.col(f"_e.{end}")), F.col("_x")))
     out = met.groupBy(*by, F.col("_e.q").alias("q"), F.col("_e.low").alias("_low"), F.col("_e.high").alias("_high"), F.col("_e.at").alias("_at")).agg(of("low").alias("_a"), of("high").alias("_b"))
     value = F.when((F.col("_low") == F.col("_high")) | (F.col("_a") == F.col("_b")), F.col("_a")).otherwise((F.col("_high") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.col("_low")) * F.col("_b"))
     return out.select(*by, "q", value.alias("value"))
 
 
+def quantiles_by(df: DataFrame, c: str, at: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, q, value): linearly interpolated quantiles of the non-null values of `c` in each group that has some.
+
+    Values are counted first; what meets in one place are two values for each
+    quantile.
+    """
+    return _quantiles(df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("_x"), F.lit(True).alias("_in")).agg(F.count("*").alias("_n")), at, by)
+
+
 def quantile_values(df: DataFrame, c: str, at: list[float]) -> list[float | None]:
-    """The quantiles `at`, in that order, to the driver; None where there are no values."""
-    found = {r["q"]: r["value"] for r in quantiles_by(df, c, sorted(set(map(float, at)))).collect()}
+    """The quantiles `at`, in that order, to the driver; None where there are no values.
+
+    Approximate quantiles a little below and above each one enclose it, so only
+    values between those are counted one by one; should one not be enclosed,
+    all are.
+    """
+    wanted = sorted(set(map(float, at)))
+    x = F.col("_x")
+    rows = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("_x"))
+    sides = [min(1.0, max(0.0, q + d)) for q in wanted for d in (-3 / ACCURACY, 3 / ACCURACY)]
+    n, about = rows.agg(F.count("*"), F.percentile_approx("_x", sides, ACCURACY)).first()
+    found = {}
+    if n > 2 * ACCURACY:
+        value, inside = F.lit(float("inf")), F.lit(False)
+        for low, high in sorted(set(zip(about[::2], about[1::2])), reverse=True):
+            value, inside = F.when(x <= high, F.greatest(x, F.lit(low))).otherwise(value), F.when(x <= high, x >= low).otherwise(inside)
+        counts = rows.groupBy(value.alias("_x"), inside.alias("_in")).agg(F.count("*").alias("_n"))
+        found = {r["q"]: r["value"] for r in _quantiles(counts, wanted).collect()}
+    if n and None in map(found.get, wanted):
+        found = {r["q"]: r["value"] for r in quantiles_by(rows, "_x", wanted).collect()}
     return [found.get(float(q)) for q in at]
 
 

@@ -23,13 +23,16 @@ def settled(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 def settled_by(df: DataFrame, column: str, values: list[str], most: int = MOST_ROWS) -> dict[str, DataFrame]:
     """The part of `df` for each of the values, without the column; each part of at most `most` rows is local.
 
-    One job counts, one fetches all small parts; a large part is left to its
-    own plan, where the filter on the column is pushed to the scan.
+    One job fetches all if that is little; else one counts and one fetches the
+    small parts, and a large part is left to its own plan, where the filter on
+    the column is pushed to the scan.
     """
-    size = {r[0]: r[1] for r in df.groupBy(column).count().collect()}
-    small = [v for v in values if size.get(v, 0) <= most]
     spark, schema = df.sparkSession, df.drop(column).schema
-    held = df.where(F.col(column).isin(small)).toArrow() if small else None
+    small, held = values, df.limit(most + 1).toArrow()
+    if held.num_rows > most:
+        size = {r[0]: r[1] for r in df.groupBy(column).count().collect()}
+        small = [v for v in values if size.get(v, 0) <= most]
+        held = df.where(F.col(column).isin(small)).toArrow()
     out = {}
     for v in values:
         if v in small:

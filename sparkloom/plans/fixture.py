@@ -66,6 +66,10 @@ PURCHASES = """buy AS (
          LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey)"""
 
 
+#: What makes a user a whale of a bundle.
+WHALE_BUYS, WHALE_REVENUE = 2, 50_000.0
+
+
 def _map(rows: DataFrame, key: str, **values) -> DataFrame:
     """Per user, one map from `key` to each value; keys are grouped before they are collected."""
     grouped = rows.where(F.col(key).isNotNull()).groupBy("user_id", key).agg(*(c.alias(n) for n, c in values.items()))
@@ -76,7 +80,7 @@ def user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user with map and list columns of what was bought, when and from whom, and of actions."""
     buy = purchases(spark, sf_dir)
     events = table(spark, sf_dir, "events")
-    bundles = _map(buy, "bundle", num_buys_bundle=F.count("*"), iap_revenue_usd_bundle=F.sum("revenue").cast("double"), last_buy_ts_bundle=F.max("bought_at"))
+    bundles = _map(buy, "bundle", num_buys_bundle=F.count("*"), iap_revenue_usd_bundle=F.sum("revenue").cast("double"), last_buy_ts_bundle=F.max("bought_at"), first_request_ts_bundle=F.min("bought_at"))
     categories = _map(buy, "category", num_buys_category=F.count("*"), iap_revenue_usd_category=F.sum("revenue").cast("double"), last_buy_ts_category=F.max("bought_at"))
     sellers = _map(buy, "seller", country_hist=F.count("*"))
     lists = buy.groupBy("user_id").agg(F.sort_array(F.collect_list("bundle")).alias("bundles_ins"))
@@ -84,12 +88,18 @@ def user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = events.groupBy("user_id", F.hour("ts").cast("string").alias("hour")).agg(F.count("*").alias("n"))
     hours = hours.groupBy("user_id").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("counts"))
     hours = hours.select("user_id", F.transform_values("counts", lambda _, v: v / F.col("all")).alias("hour_ratio"))
+    days = events.groupBy("user_id").agg(F.avg((F.weekday("ts") >= 5).cast("int")).alias("weekend_ratio"))
     out = bundles
     for more in (categories, sellers, lists):
         out = out.join(more, "user_id", "left")
-    for more in (actions, hours):
+    for more in (actions, hours, days):
         out = out.join(more, "user_id", "full")
-    return out
+    more = {
+        "user_bundles": F.array_distinct("bundles_ins"),
+        "whale_users_bundle_total_num_buys": F.map_filter("num_buys_bundle", lambda _, v: v >= WHALE_BUYS),
+        "whale_users_bundle_total_revenue": F.map_filter("iap_revenue_usd_bundle", lambda _, v: v >= WHALE_REVENUE),
+    }
+    return out.withColumns(more)
 
 
 def with_history(spark: SparkSession, sf_dir: str) -> DataFrame:

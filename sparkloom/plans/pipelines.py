@@ -1,13 +1,16 @@
-"""Runs from scan to report: teachers, students, the simple variant, and scoring."""
+"""Runs from scan to report: teachers, students, the simple and research variants, and scoring."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scalar import date_batches
 from sparkloom.operators import encoding, evaluate, features, model, stats
+from sparkloom.operators.model import Boosting
 from sparkloom.sources import scan, stores
 
 TARGETS = ["iap_revenue_d7", "buyer_d7"]
@@ -15,6 +18,32 @@ TARGETS = ["iap_revenue_d7", "buyer_d7"]
 LEAKS = {*TARGETS, "log_rev_d7", "is_whale"}
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a run needs to know; read from a JSON text, or YAML where that is installed."""
+
+    train_path: str = ""
+    test_path: str | None = None
+    windows: dict[str, str] = field(default_factory=dict)
+    folder: str = "models"
+    boosting: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Settings:
+        """Settings from a file in any store that Spark reads; unknown names are refused."""
+        text = spark.read.text(path, wholetext=True).first()[0]
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            found = yaml.safe_load(text)
+        else:
+            found = json.loads(text)
+        known = {f.name for f in fields(cls)}
+        if unknown := set(found) - known:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**found)
+
+
 @dataclass
 class Fitted:
     """What a teacher run leaves for students and scoring."""
@@ -35,20 +64,48 @@ def _with_targets(built: DataFrame, raw: DataFrame) -> DataFrame:
     return built.join(own, "row_id")
 
 
-def teacher_run(train: DataFrame, val: DataFrame, folder: str, trees: int = 20, depth: int = 5, rich: bool = False) -> tuple[Fitted, DataFrame]:
-    """Lookup tables and encoders of the training window, offline features, teachers; soft labels are stored.
+def _key(name: str, df: DataFrame, rich: bool) -> str:
+    """Name of a stored table or model of the features of `df`: its columns and, if it has times, its window."""
+    window = tuple(x or "none" for x in df.agg(F.min("datetime"), F.max("datetime")).first()) if "datetime" in df.columns else ("all",)
+    return stores.cache_key((name, *window), [*df.columns, str(rich)])
+
+
+def progressive_features(df: DataFrame, build, path: str, window: tuple[str, str], days: int) -> DataFrame:
+    """Features of an hourly window, built and stored a batch of days at a time.
+
+    `build` gets a batch of rows and returns their features with datetime;
+    partitions of a batch that is built again are replaced.
+    """
+    for start, end in date_batches(*window, days):
+        stores.append_windows(build(scan.window(df, start, end)), path)
+    return scan.window(df.sparkSession.read.parquet(path), *window)
+
+
+def teacher_run(train: DataFrame, val: DataFrame, folder: str, boosting: Boosting = Boosting(), rich: bool = False, rebuild: bool = False, stop_early: bool = True, batch_days: int | None = None) -> tuple[Fitted, DataFrame]:
+    """Lookup tables and encoders of the training window, offline features, teachers; features, models and soft labels are stored.
 
-    Returns what was fitted and the (model, metric, value) report on the validation window.
+    Features are built once and read again by every later step.  Returns what
+    was fitted and the (model, metric, value) report on the validation window.
     """
+    spark = train.sparkSession
     tables = stats.lookup_tables(train)
     encoders = encoding.fit_encoders(train, features.CATEGORICAL)
     stores.save_lookups(tables, folder)
     stores.save_encoders(encoders, folder)
     build = lambda df: _with_targets(features.offline(df, tables, encoders, rich=rich)[0], df)
-    own, check = build(train), build(val)
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        key = _key(name, df, rich)
+        if batch_days:
+            first, last = df.agg(F.min("datetime"), F.max("datetime")).first()
+            return stores.cached_features(spark, folder, key, lambda: progressive_features(df, build, f"{folder}/batches/{key}", (first, last), batch_days), rebuild)
+        return stores.cached_features(spark, folder, key, lambda: build(df), rebuild)
+
+    own, check = stored("train", train), stored("val", val)
     names = _numeric(own)
-    teachers = model.fit_teachers(own, names, trees, depth)
-    teachers.save(f"{folder}/teachers")
+    settings = json.dumps([asdict(boosting), names, stop_early])
+    fit = lambda: model.fit_teachers(own, names, boosting, check if stop_early else None)
+    teachers = model.kept_model(folder, stores.cache_key(("teachers", _key("train", train, rich)), [settings]), names, fit, rebuild)
     stores.save_soft_labels(model.soft_labels(teachers, own), f"{folder}/soft_labels")
     return Fitted(tables, encoders, names, teachers), report(teachers, check, "teacher")
 
@@ -56,34 +113,45 @@ def teacher_run(train: DataFrame, val: DataFrame, folder: str, trees: int = 20,
 def report(models: model.TwoStage, df: DataFrame, name: str) -> DataFrame:
     """(model, metric, value): classifier and ranking metrics of the probability, regression metrics of the gated and soft revenue."""
     scored = models.score(stats.with_targets(df))
-    ranks = evaluate.auc_roc(scored, "buyer_d7", "p_buyer").withColumn("_one", F.lit(1)).join(evaluate.average_precision(scored, "buyer_d7", "p_buyer").withColumn("_one", F.lit(1)), "_one").drop("_one")
-    parts = {"cls": evaluate.classifier_report(scored, "buyer_d7", "p_buyer"), "rank": ranks, "gated": evaluate.regressor_report(scored, "iap_revenue_d7", "gated"), "soft": evaluate.regressor_report(scored, "iap_revenue_d7", "soft")}
+    ranks = [("rank", rank(scored, "buyer_d7", "p_buyer")) for rank in (evaluate.auc_roc, evaluate.average_precision)]
+    parts = [("cls", evaluate.classifier_report(scored, "buyer_d7", "p_buyer")), *ranks, *((c, evaluate.regressor_report(scored, "iap_revenue_d7", c)) for c in ("gated", "soft"))]
     long = evaluate.compared(parts)
     return long.select(F.lit(name).alias("model"), F.concat_ws("_", "model", "metric").alias("metric"), "value")
 
 
-def student_run(train: DataFrame, val: DataFrame, folder: str, trees: int = 10, depth: int = 4, alpha: float = 0.8) -> tuple[model.TwoStage, list[str], DataFrame]:
+def student_run(train: DataFrame, val: DataFrame, folder: str, boosting: Boosting = Boosting(10, 4), alpha: float = 0.8) -> tuple[model.TwoStage, list[str], DataFrame]:
     """Small models of the online features on blended labels, with the stored tables, encoders and soft labels."""
     spark = train.sparkSession
     tables, encoders = stores.load_lookups(spark, folder), stores.load_encoders(spark, folder)
     own, check = (features.online(df, tables, encoders, fit=False)[0] for df in (train, val))
     names = _numeric(own)
-    students = model.fit_students(own, stores.load_soft_labels(spark, f"{folder}/soft_labels"), names, alpha, trees, depth)
+    students = model.fit_students(own, stores.load_soft_labels(spark, f"{folder}/soft_labels"), names, boosting, alpha)
     students.save(f"{folder}/students")
     return students, names, report(students, _with_targets(check, val), "student")
 
 
-def simple_run(train: DataFrame, val: DataFrame, trees: int = 10, depth: int = 4) -> tuple[model.TwoStage, DataFrame]:
+def simple_run(train: DataFrame, val: DataFrame, boosting: Boosting = Boosting(10, 4)) -> tuple[model.TwoStage, DataFrame]:
     """The variant without nested columns: numeric and label-encoded features that both windows have."""
     cats = features.SIMPLE_CATEGORICAL
     encoders = encoding.fit_encoders(train, cats)
     build = lambda df: encoding.apply_encoders(df.select("row_id", *TARGETS, *(c for c in _numeric(df)), *(c for c in cats if c in df.columns)), encoders, cats)
     own, check = build(train), build(val)
     names = sorted(set(_numeric(own)) & set(_numeric(check)))
-    teachers = model.fit_teachers(own, names, trees, depth)
+    teachers = model.fit_teachers(own, names, boosting, check)
     return teachers, report(teachers, check, "simple")
 
 
+def research_run(train: DataFrame, val: DataFrame, boosting: Boosting = Boosting(10, 4)) -> tuple[model.TwoStage, DataFrame]:
+    """Models on the research feature lists, encodings fitted on the training window, categories as codes."""
+    cats = ["advertiser_category", "country", "dev_os"]
+    encoders = encoding.fit_encoders(stats.filled(train, {c: "UNK" for c in cats}), cats)
+    build = lambda df: encoding.apply_encoders(features.research(df, train), encoders, cats)
+    own, check = build(train), build(val)
+    names = [c for c in dict.fromkeys(features.RESEARCH_TEACHER + features.RESEARCH_REGRESSOR) if c in own.columns and c in check.columns]
+    teachers = model.fit_teachers(own, names, boosting, check)
+    return teachers, report(teachers, check, "research")
+
+
 def score_run(test: DataFrame, fitted: Fitted, path: str, combine: str = "gated") -> dict[str, int]:
     """Scan, features, models, gate and submission, streaming through partitions; returns the checked counts."""
     built = features.offline(test, fitted.tables, fitted.encoders)[0]
@@ -91,6 +159,14 @@ def score_run(test: DataFrame, fitted: Fitted, path: str, combine: str = "gated"
     return stores.write_submission(scored.select("row_id", F.col(combine).alias("iap_revenue_d7")), path)
 
 
+def student_submission(test: DataFrame, folder: str, names: list[str], path: str, combine: str = "gated") -> dict[str, int]:
+    """The stored students' submission, from online features by the stored tables and encoders."""
+    spark = test.sparkSession
+    built = features.online(test, stores.load_lookups(spark, folder), stores.load_encoders(spark, folder), fit=False)[0]
+    scored = model.load(f"{folder}/students", names, probability=False).score(built)
+    return stores.write_submission(scored.select("row_id", F.col(combine).alias("iap_revenue_d7")), path)
+
+
 class Predictor:
     """Scores tables or files with fitted models."""
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import binning, nested, scalar
 from sparkloom.operators import encoding, evaluate, features, model, sampling, stats
-from sparkloom.plans.fixture import IMPRESSIONS, PURCHASES, impressions, table, user_history, with_history
+from sparkloom.operators.ranks import quantile_values
+from sparkloom.plans.fixture import IMPRESSIONS, PURCHASES, WHALE_BUYS, WHALE_REVENUE, impressions, table, user_history, with_history
 from sparkloom.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +201,7 @@ def log_target(spark, d):
 @query(imp(f"SELECT row_id, {q('least(iap_revenue_d7, (SELECT quantile_cont(iap_revenue_d7, 0.999) FROM imp))')} AS clipped FROM imp"))
 def clip_quantile(spark, d):
     df = impressions(spark, d)
-    top = df.agg(F.percentile("iap_revenue_d7", 0.999)).first()[0]
+    top = quantile_values(df, "iap_revenue_d7", [0.999])[0]
     return df.select("row_id", r(scalar.clip("iap_revenue_d7", high=top)).alias("clipped"))
 
 
@@ -255,7 +256,7 @@ def map_current_adv(spark, d):
     return with_history(spark, d).select("row_id", nested.map_get("num_buys_bundle", "advertiser_bundle").alias("buys"), r(nested.map_get("iap_revenue_usd_bundle", "advertiser_bundle"), 2).alias("revenue"))
 
 
-@query(buy("SELECT user_id, CAST(count(DISTINCT bundle) AS INTEGER) AS last_buy_ts_bundle_n_items, CAST(count(DISTINCT category) AS INTEGER) AS last_buy_ts_category_n_items FROM buy GROUP BY 1"))
+@query(buy("SELECT user_id, CAST(count(DISTINCT bundle) AS INTEGER) AS last_buy_n_items, CAST(count(DISTINCT category) AS INTEGER) AS last_buy_cat_n_items, CAST(count(DISTINCT bundle) AS INTEGER) AS first_req_n_items FROM buy GROUP BY 1"))
 def ts_map_items(spark, d):
     h = _buyers(spark, d)
     return h.select("user_id", *(c.alias(n) for n, c in features.time_columns(h).items()))
@@ -264,7 +265,7 @@ def ts_map_items(spark, d):
 @query(buy(f"SELECT user_id, CAST(floor((epoch(TIMESTAMP '{CURRENT}') - max(bought_at)) / 86400) AS BIGINT) AS newest FROM buy GROUP BY 1"))
 def ts_map_recency(spark, d):
     h = _buyers(spark, d).select("user_id", "last_buy_ts_bundle")
-    return h.select("user_id", features.time_columns(h, True, CURRENT)["last_buy_ts_bundle_min_days_ago"].cast("long").alias("newest"))
+    return h.select("user_id", features.time_columns(h, True, CURRENT)["last_buy_min_days_ago"].cast("long").alias("newest"))
 
 
 @query("SELECT user_id, CAST(count(*) AS DOUBLE) AS user_action_total, CAST(count(DISTINCT event_type) AS INTEGER) AS user_action_n_types FROM events GROUP BY 1")
@@ -342,39 +343,82 @@ _CODED = ("country", "region", "dev_os", "advertiser_bundle", "advertiser_catego
 _CODE_CTES = ", ".join(f"code_{c} AS {_CODES.format(c=c, t='imp', w=f' AND datetime <= {TRAIN_END!r}')}" for c in _CODED)
 _CODE_COLUMNS = ", ".join(f"coalesce(code_{c}.code, -1) AS {c}" for c in _CODED)
 _CODE_JOINS = " ".join(f"LEFT JOIN code_{c} ON code_{c}.v = imp.{c}" for c in _CODED)
-_USER = """u1 AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS total_buys, CAST(count(DISTINCT bundle) AS INTEGER) AS nb, CAST(sum(revenue) AS DOUBLE) AS rev FROM buy GROUP BY 1)"""
-_ONLINE = f"""row_id, {_CODE_COLUMNS}, CAST(coalesce(u1.total_buys, 0) AS INTEGER) AS num_bundles_ins, coalesce(u1.total_buys, 0.0) AS total_buys,
-    coalesce(u1.nb, 0) AS num_bought_bundles, {q('coalesce(u1.rev, 0.0)', 2)} AS total_past_revenue,
-    {q('sin(2 * pi() * hour / 24)', 6)} AS hour_sin, CASE WHEN hour <= 6 THEN 0 WHEN hour <= 12 THEN 1 WHEN hour <= 18 THEN 2 ELSE 3 END AS hour_bin, {_ENRICHED}"""
+_USER = f"""u1 AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS total_buys, CAST(count(DISTINCT bundle) AS INTEGER) AS nb, CAST(count(DISTINCT category) AS INTEGER) AS nc, CAST(sum(revenue) AS DOUBLE) AS rev FROM buy GROUP BY 1),
+    w1 AS (SELECT user_id, avg(CAST(isodow(ts) >= 6 AS INTEGER)) AS weekend FROM events GROUP BY 1)"""
+_USER_JOINS = "LEFT JOIN u1 ON u1.user_id = imp.user_id LEFT JOIN w1 ON w1.user_id = imp.user_id"
+_ONLINE_OWN = f"""CAST(coalesce(u1.total_buys, 0) AS INTEGER) AS num_bundles_ins, coalesce(nb, 0) AS num_user_bundles, coalesce(u1.total_buys, 0.0) AS total_buys,
+    coalesce(nb, 0) AS num_bought_bundles, coalesce(nb, 0) AS num_revenue_bundles, {q('coalesce(u1.rev, 0.0)', 2)} AS total_past_revenue, {q('coalesce(u1.rev, 0.0)', 2)} AS total_category_revenue,
+    {q('coalesce(weekend, 0.0)', 6)} AS weekend_ratio, hour, {q('sin(2 * pi() * hour / 24)', 6)} AS hour_sin, {q('cos(2 * pi() * hour / 24)', 6)} AS hour_cos,
+    CASE WHEN hour <= 6 THEN 0 WHEN hour <= 12 THEN 1 WHEN hour <= 18 THEN 2 ELSE 3 END AS hour_bin, {_ENRICHED}"""
+_ONLINE = f"row_id, {_CODE_COLUMNS}, {_ONLINE_OWN}"
+_MONEY = {"total_past_revenue", "total_category_revenue"}
+_SIX = {"weekend_ratio", "hour_sin", "hour_cos"}
 
 
 def _fitted(df: DataFrame) -> DataFrame:
     return encoding.fit_encoders(scan.window(df, None, TRAIN_END), list(_CODED))
 
 
-@query(f"WITH {IMPRESSIONS}, {PURCHASES}, {_LOOKUP}, {_CODE_CTES}, {_USER} SELECT {_ONLINE} FROM imp {_LOOKUP_JOINS} {_CODE_JOINS} LEFT JOIN u1 ON u1.user_id = imp.user_id")
+def _digits(c: str) -> int | None:
+    """Digits that a column of features is compared to; None for whole numbers."""
+    if c in _ADDED:
+        return 4 if c.endswith("avg_rev_d7") else 6
+    if c in _MONEY or c.startswith(("rev_", "whale_total_rev")):
+        return None if c.endswith(("n_keys", "n_bundles")) else 4 if c.endswith("_mean") else 2
+    return 6 if c in _SIX or c.endswith("_mean") or c == "hour_total_count" else None
+
+
+def _compared(df: DataFrame) -> DataFrame:
+    return df.select(*(r(c, _digits(c)).alias(c) if _digits(c) else c for c in df.columns))
+
+
+@query(f"WITH {IMPRESSIONS}, {PURCHASES}, {_LOOKUP}, {_CODE_CTES}, {_USER} SELECT {_ONLINE}, datetime FROM imp {_LOOKUP_JOINS} {_CODE_JOINS} {_USER_JOINS}")
 def online_features(spark, d):
+    """All online columns of the impressions."""
     df = impressions(spark, d)
     out, _ = features.online(with_history(spark, d), _tables(df), _fitted(df))
-    return out.select("row_id", *_CODED, "num_bundles_ins", "total_buys", "num_bought_bundles", r("total_past_revenue", 2).alias("total_past_revenue"), r("hour_sin", 6).alias("hour_sin"), "hour_bin", *_rounded_lookups())
+    return _compared(out)
+
+
+def _amounts_sql(of: str, key: str, prefix: str, value: str, digits: int) -> str:
+    x = "CAST({} AS DOUBLE)".format
+    money = (lambda e, n: q(f"coalesce({e}, 0.0)", n)) if digits else (lambda e, n: f"coalesce({e}, 0.0)")
+    return f"{money(f'{of}.s', 2)} AS {prefix}_sum, {money(f'{of}.mx', 2)} AS {prefix}_max, coalesce({of}.n, 0) AS {prefix}_n_keys, {q(f'coalesce({of}.s / {of}.n, 0.0)', 4 if digits else 6)} AS {prefix}_mean"
+
+
+def _per_key(name: str, key: str, value: str) -> str:
+    """Common tables: the map of each user by key, and its sum, maximum and size."""
+    return f"{name} AS (SELECT user_id, {key} AS k, CAST({value} AS DOUBLE) AS v FROM buy GROUP BY 1, 2), {name}_u AS (SELECT user_id, sum(v) AS s, max(v) AS mx, CAST(count(*) AS INTEGER) AS n FROM {name} GROUP BY 1)"
+
+
+_MAPS = {"bb": ("bundle", "count(*)", "buys_bundle", 0), "bc": ("category", "count(*)", "buys_category", 0), "rb": ("bundle", "sum(revenue)", "rev_bundle", 2), "rc": ("category", "sum(revenue)", "rev_category", 2)}
+_MAP_CTES = ", ".join(_per_key(n, k, v) for n, (k, v, _, _) in _MAPS.items())
+_MAP_COLUMNS = ", ".join(_amounts_sql(f"{n}_u", k, p, v, x) for n, (k, v, p, x) in _MAPS.items())
+_MAP_JOINS = " ".join(f"LEFT JOIN {n}_u ON {n}_u.user_id = imp.user_id" for n in _MAPS) + " LEFT JOIN bb ON bb.user_id = imp.user_id AND bb.k = imp.advertiser_bundle LEFT JOIN rb ON rb.user_id = imp.user_id AND rb.k = imp.advertiser_bundle"
+_WHALE_CTES = f"wb AS (SELECT user_id, max(v) AS mx, CAST(count(*) AS INTEGER) AS n FROM bb WHERE v >= {WHALE_BUYS} GROUP BY 1), wr AS (SELECT user_id, max(v) AS mx, CAST(count(*) AS INTEGER) AS n FROM rb WHERE v >= {WHALE_REVENUE} GROUP BY 1)"
+_WHALE_COLUMNS = f"""coalesce(wb.mx, 0.0) AS whale_total_buys_max, coalesce(wb.n, 0) AS whale_total_buys_n_bundles, CASE WHEN bb.v >= {WHALE_BUYS} THEN bb.v ELSE 0.0 END AS whale_total_buys_current,
+    {q('coalesce(wr.mx, 0.0)', 2)} AS whale_total_rev_max, coalesce(wr.n, 0) AS whale_total_rev_n_bundles, {q(f'CASE WHEN rb.v >= {WHALE_REVENUE} THEN rb.v ELSE 0.0 END', 2)} AS whale_total_rev_current"""
+_WHALE_JOINS = "LEFT JOIN wb ON wb.user_id = imp.user_id LEFT JOIN wr ON wr.user_id = imp.user_id"
+
+
+@query(f"WITH {IMPRESSIONS}, {PURCHASES}, {_MAP_CTES}, {_WHALE_CTES} SELECT row_id, {_WHALE_COLUMNS} FROM imp {_MAP_JOINS} {_WHALE_JOINS}")
+def whale_maps(spark, d):
+    h = with_history(spark, d)
+    return _compared(h.select("row_id", *(c.alias(n) for n, c in features.whale_columns(h).items())))
 
 
-@query(f"""WITH {IMPRESSIONS}, {PURCHASES}, {_USER}, g AS (SELECT user_id, bundle, count(*) AS v, CAST(sum(revenue) AS DOUBLE) AS w FROM buy GROUP BY 1, 2),
-    m AS (SELECT user_id, CAST(max(v) AS DOUBLE) AS mx, {q('max(w)', 2)} AS mw, {q('sum(w) / count(*)')} AS mean FROM g GROUP BY 1),
+@query(f"""WITH {IMPRESSIONS}, {PURCHASES}, {_LOOKUP}, {_CODE_CTES}, {_USER}, {_MAP_CTES}, {_WHALE_CTES},
     s AS (SELECT user_id, CAST(count(DISTINCT seller) AS INTEGER) AS ns, CAST(count(seller) AS DOUBLE) AS ts FROM buy GROUP BY 1),
     a AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT event_type) AS INTEGER) AS k, CAST(count(DISTINCT extract(hour FROM ts)) AS INTEGER) AS h FROM events GROUP BY 1)
-    SELECT row_id, coalesce(ns, 0) AS country_n_unique, coalesce(s.ts, 0.0) AS country_total_count, coalesce(h, 0) AS hour_n_unique,
-    coalesce(mx, 0.0) AS num_buys_bundle_max, coalesce(nb, 0) AS num_buys_bundle_n_keys, CAST(coalesce(g.v, 0) AS DOUBLE) AS num_buys_bundle_current_adv,
-    coalesce(mw, 1e-7) AS rev_max, coalesce(m.mean, 1e-7) AS rev_mean, {q('coalesce(g.w, 0.0)', 2)} AS rev_current, coalesce(nb, 0) AS last_buy_ts_bundle_n_items,
-    coalesce(a.n, 0.0) AS user_action_total, coalesce(a.k, 0) AS user_action_n_types
-    FROM imp LEFT JOIN u1 ON u1.user_id = imp.user_id LEFT JOIN m ON m.user_id = imp.user_id LEFT JOIN s ON s.user_id = imp.user_id LEFT JOIN a ON a.user_id = imp.user_id
-    LEFT JOIN g ON g.user_id = imp.user_id AND g.bundle = imp.advertiser_bundle""")
+    SELECT row_id, datetime, {_CODE_COLUMNS.replace(", coalesce(code_advertiser_bundle.code, -1) AS advertiser_bundle", "")}, {_ONLINE_OWN}, {_MAP_COLUMNS}, coalesce(bb.v, 0.0) AS buys_bundle_current_adv, {q('coalesce(rb.v, 0.0)', 2)} AS rev_bundle_current_adv, {_WHALE_COLUMNS},
+    coalesce(ns, 0) AS country_n_unique, coalesce(s.ts, 0.0) AS country_total_count, coalesce(h, 0) AS hour_n_unique, {q('CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END', 6)} AS hour_total_count,
+    coalesce(nb, 0) AS last_buy_n_items, coalesce(nc, 0) AS last_buy_cat_n_items, coalesce(nb, 0) AS first_req_n_items, coalesce(a.n, 0.0) AS user_action_total, coalesce(a.k, 0) AS user_action_n_types
+    FROM imp {_LOOKUP_JOINS} {_CODE_JOINS} {_USER_JOINS} {_MAP_JOINS} {_WHALE_JOINS} LEFT JOIN s ON s.user_id = imp.user_id LEFT JOIN a ON a.user_id = imp.user_id""")
 def offline_features(spark, d):
+    """All offline columns of the impressions."""
     df = impressions(spark, d)
     out, _ = features.offline(with_history(spark, d), _tables(df), _fitted(df))
-    same = ["country_n_unique", "country_total_count", "hour_n_unique", "num_buys_bundle_max", "num_buys_bundle_n_keys", "num_buys_bundle_current_adv", "last_buy_ts_bundle_n_items", "user_action_total", "user_action_n_types"]
-    m = "iap_revenue_usd_bundle"
-    return out.select("row_id", *same, r(f"{m}_max", 2).alias("rev_max"), r(f"{m}_mean").alias("rev_mean"), r(f"{m}_current_adv", 2).alias("rev_current"))
+    return _compared(out)
 
 
 _ALL_CODES = ", ".join(f"code_{c} AS {_CODES.format(c=c, t='imp', w='')}" for c in _CODED)
@@ -630,7 +674,7 @@ def meta_stack(spark, d):
 def teacher_student(spark, d):
     own = _scored(spark, d).withColumn("half", F.col("pred") / 2)
     both = {"teacher": evaluate.regressor_report(own, "y", "pred").select("msle"), "student": evaluate.regressor_report(own, "y", "half").select("msle")}
-    return evaluate.compared(both).select("model", "metric", r("value").alias("value"))
+    return evaluate.compared(both.items()).select("model", "metric", r("value").alias("value"))
 
 
 @query(None)
@@ -638,7 +682,100 @@ def gbt_two_stage_predict(spark, d):
     """Teachers fitted on the training window, and what they predict after it."""
     df = impressions(spark, d)
     out, _ = features.online(with_history(spark, d), _tables(df), _fitted(df))
-    own = out.join(df.select("row_id", "iap_revenue_d7", "buyer_d7"), "row_id").cache()
+    own = out.join(df.select("row_id", "iap_revenue_d7", "buyer_d7"), "row_id")
     names = [c for c in stats.numeric_columns(own) if c not in ("row_id", "iap_revenue_d7", "buyer_d7", "advertiser_bundle")]
-    fitted = model.fit_teachers(scan.window(own, None, TRAIN_END), names, trees=3, depth=3)
+    fitted = model.fit_teachers(scan.window(own, None, TRAIN_END), names, model.Boosting(3, 3))
     return fitted.score(scan.window(own, VAL_START)).select("row_id", "p_buyer", "log_rev", "gated", "soft")
+
+
+# Further operators
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 0")
+def sparse_dropped(spark, d):
+    own = table(spark, d, "events").where("event_id % 2 = 0").select("event_id", F.lit(None).cast("string").alias("empty"), F.when(F.col("event_id") < 0, 1).alias("never"))
+    return stats.drop_sparse(own)
+
+
+@query(imp(f"SELECT row_id, coalesce(nullif(country, (SELECT min(country) FROM imp)), 'UNK') AS country, {q('coalesce(nullif(iap_revenue_d7, 0.0), (SELECT avg(nullif(iap_revenue_d7, 0.0)) FROM imp))')} AS revenue, CASE WHEN hour = 0 THEN -1 ELSE hour END AS hour FROM imp"))
+def filled_columns(spark, d):
+    df = impressions(spark, d)
+    least = df.agg(F.min("country")).first()[0]
+    own = df.select("row_id", F.nullif("country", F.lit(least)).alias("country"), F.nullif("iap_revenue_d7", F.lit(0.0)).alias("revenue"), F.nullif("hour", F.lit(0)).alias("hour"))
+    return stats.filled(own, {"country": "UNK", "hour": -1}, ["revenue"]).select("row_id", "country", r("revenue").alias("revenue"), "hour")
+
+
+@query(imp(f"SELECT row_id, hour, {q('iap_revenue_d7')} AS revenue, buyer_d7, {q('ln(1 + iap_revenue_d7)', 6)} AS log_rev_d7 FROM imp"))
+def aligned_targets(spark, d):
+    """Features and targets of the same rows, whatever the order of either."""
+    df = impressions(spark, d)
+    built = df.select("row_id", "hour").orderBy(F.desc("row_id"))
+    targets = stats.with_targets(df.select("row_id", "iap_revenue_d7"))
+    return built.join(targets, "row_id").select("row_id", "hour", r("iap_revenue_d7").alias("revenue"), "buyer_d7", r("log_rev_d7", 6).alias("log_rev_d7"))
+
+
+@query(buy(f""", g AS (SELECT user_id, bundle, CAST(count(*) AS DOUBLE) AS v FROM buy GROUP BY 1, 2), h AS (SELECT user_id, seller, CAST(count(*) AS DOUBLE) AS v FROM buy WHERE seller IS NOT NULL GROUP BY 1, 2)
+    SELECT user_id, CAST(sum(v) AS INTEGER) AS bundles_ins_count, CAST(count(*) AS INTEGER) AS bundles_ins_unique, {q('avg(v)', 6)} AS num_buys_bundle_mean, max(v) AS num_buys_bundle_max, min(v) AS num_buys_bundle_min, CAST(count(*) AS INTEGER) AS num_buys_bundle_count,
+    coalesce((SELECT max(v) FROM h WHERE h.user_id = g.user_id), 0.0) AS country_hist_top1 FROM g GROUP BY 1"""))
+def flatten_nested(spark, d):
+    h = _buyers(spark, d).select("user_id", "num_buys_bundle", "bundles_ins", "country_hist")
+    out = features.flatten_all(h, ["num_buys_bundle"], ["bundles_ins"], ["country_hist"], top_k=1)
+    return out.drop("country_hist_entropy", "num_buys_bundle_std").withColumn("num_buys_bundle_mean", r("num_buys_bundle_mean", 6))
+
+
+@query(imp("SELECT count(*) AS n, count(DISTINCT row_id) AS rows, CAST(sum(row_id) AS BIGINT) AS total FROM imp"))
+def shuffled_rows(spark, d):
+    return sampling.shuffled(impressions(spark, d).select("row_id"), "row_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("rows"), F.sum("row_id").alias("total"))
+
+
+@query(imp("SELECT 'country' AS \"column\", count(DISTINCT country) AS n FROM imp UNION ALL SELECT 'advertiser_bundle', count(DISTINCT advertiser_bundle) FROM imp UNION ALL SELECT 'user_id', count(DISTINCT user_id) FROM imp"))
+def distinct_counts(spark, d):
+    return stats.n_unique(impressions(spark, d), ["country", "advertiser_bundle", "user_id"])
+
+
+@query(imp(", f AS (SELECT CAST(user_id AS VARCHAR) AS value, min(row_id) AS first FROM imp GROUP BY 1) SELECT value, CAST(row_number() OVER (ORDER BY first, value) - 1 AS INTEGER) AS code FROM f"))
+def first_seen_codes(spark, d):
+    return encoding.first_seen_codes(impressions(spark, d), "user_id", "row_id")
+
+
+@query(imp("SELECT row_id, datetime FROM imp ORDER BY datetime DESC, row_id DESC LIMIT 20"))
+def last_rows(spark, d):
+    return stats.tail(impressions(spark, d).select("row_id", "datetime"), ["datetime", "row_id"], 20)
+
+
+@query(imp(f"SELECT buyer_d7, {q('avg(iap_revenue_d7)')} AS iap_revenue_d7, {q('avg(hour)')} AS hour FROM imp GROUP BY 1"))
+def means_by_buyer(spark, d):
+    return stats.group_means(impressions(spark, d), "buyer_d7", ["iap_revenue_d7", "hour"]).select("buyer_d7", r("iap_revenue_d7").alias("iap_revenue_d7"), r("hour").alias("hour"))
+
+
+@query(imp(f"SELECT country, {q('avg(buyer_d7)', 6)} AS buyer_rate, count(*) AS n FROM imp WHERE country IS NOT NULL GROUP BY 1"))
+def out_of_fold_totals(spark, d):
+    """Out-of-fold rates, each weighed by its fold's rows elsewhere, add up to the rates of all rows."""
+    found = stats.out_of_fold(impressions(spark, d).select("row_id", "country", "buyer_d7", "iap_revenue_d7").where("country is not null"), "country", "row_id", 4)
+    folds = found.groupBy("country", F.pmod(F.xxhash64(F.col("row_id"), F.lit(42)), F.lit(4)).alias("fold")).agg(F.first("buyer_rate").alias("rate"), F.count("*").alias("n"), F.sum("buyer_d7").alias("own"))
+    whole = folds.groupBy("country").agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.collect_list(F.struct("rate", "n")).alias("parts"), F.sum("own").alias("own"))
+    elsewhere = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.coalesce(p["rate"], F.lit(0.0)) * (F.col("all") - p["n"]))
+    rate = F.when(F.col("k") > 1, elsewhere / (F.col("k") - 1)).otherwise(F.col("own")) / F.col("all")
+    return whole.select("country", r(rate, 6).alias("buyer_rate"), F.col("all").alias("n"))
+
+
+@query(imp("SELECT user_id, hour, iap_revenue_d7, buyer_d7 FROM imp"))
+def predictor_input(spark, d):
+    return features.predictor_input(impressions(spark, d))
+
+
+@query(imp(f", t AS (SELECT {q('avg(iap_revenue_d7)')} AS x, {q('avg(buyer_d7)')} AS y FROM imp) SELECT unnest(['[mean]', '  mean_buyer: ' || printf('%.6f', y), '  mean_revenue: ' || printf('%.6f', x)]) AS line FROM t"))
+def metric_lines(spark, d):
+    row = impressions(spark, d).agg(r(F.avg("iap_revenue_d7")).alias("mean_revenue"), r(F.avg("buyer_d7")).alias("mean_buyer")).first().asDict()
+    return spark.createDataFrame([(x,) for x in evaluate.lines_of(row)], "line string")
+
+
+@query(imp(f""", f AS (SELECT * FROM imp WHERE datetime <= '{TRAIN_END}'), c AS (SELECT country, avg(iap_revenue_d7) AS v FROM f GROUP BY 1),
+    t AS (SELECT country, (SELECT avg(buyer_d7) FROM f) * (1 - 1 / (1 + exp(-(count(*) - 200.0)))) + avg(buyer_d7) / (1 + exp(-(count(*) - 200.0))) AS v FROM f GROUP BY 1),
+    k AS (SELECT advertiser_category AS cat, avg(CAST(iap_revenue_d7 >= (SELECT quantile_cont(iap_revenue_d7, 0.8) FROM f) AS INTEGER)) AS v FROM f GROUP BY 1)
+    SELECT row_id, CAST(isodow(strptime(datetime, '%Y-%m-%d-%H-%M')) - 1 AS INTEGER) AS weekday, {q('coalesce(t.v, (SELECT avg(buyer_d7) FROM f))', 6)} AS country_te, {q('coalesce(k.v, 0.0)', 6)} AS cat_whale_rate, {q('coalesce(c.v, 0.0)')} AS country_avg_rev
+    FROM imp LEFT JOIN c ON c.country = coalesce(imp.country, 'UNK') LEFT JOIN t ON t.country = coalesce(imp.country, 'UNK') LEFT JOIN k ON k.cat = coalesce(imp.advertiser_category, 'UNK')"""))
+def research_features(spark, d):
+    df = impressions(spark, d)
+    out = features.research(df, scan.window(df, None, TRAIN_END))
+    return out.select("row_id", "weekday", r("country_te", 6).alias("country_te"), r("cat_whale_rate", 6).alias("cat_whale_rate"), r("country_avg_rev").alias("country_avg_rev"))

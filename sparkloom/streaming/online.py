@@ -27,4 +27,4 @@ def append_available(df: DataFrame, path: str, checkpoint: str):
 
 def revenue_windows(stream: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Impressions, buyers and revenue per time window and country; windows close `late` after their end."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "country").agg(F.count("*").alias("impressions"), F.sum("buyer_d7").alias("buyers"), F.sum("iap_revenue_d7").alias("revenue")).select("w.start", "w.end", "country", "impressions", "buyers", "revenue")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "country").agg(F.count("*").alias("impressions"), F.sum("buyer_d7").alias("buyers"), F.sum("iap_revenue_d7").alias("revenue")).select("w.start", "w.end", "country", "impressions", "buyers", "revenue")

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import encoding, evaluate, features, model, sampling, stats
+from sparkloom.operators import encoding, evaluate, features, model, ranks, sampling, stats
+from sparkloom.plans import pipelines, train
 from sparkloom.plans.fixture import impressions
 from sparkloom.sources import scan, stores
 from sparkloom.streaming import online
@@ -88,7 +89,7 @@ def test_missing_columns_give_fewer_features(spark):
     df = spark.createDataFrame([(1, "US", {"a": 1.0}, {"x": 4.0, "y": 2.0})], "row_id long, country string, num_buys_bundle map<string,double>, avg_duration map<string,double>")
     out, encoders = features.offline(df, rich=True)
     row = out.first().asDict()
-    assert row["total_buys"] == 1 and row["num_buys_bundle_mean"] == 1 and row["avg_duration"] == 3 and row["country"] == 0 and "hour_sin" not in row
+    assert row["total_buys"] == 1 and row["buys_bundle_mean"] == 1 and row["avg_duration"] == 3 and row["country"] == 0 and "hour_sin" not in row
     assert encoders.count() == 1
     flat = features.flatten_all(df, ["num_buys_bundle"], ["nothing"], ["avg_duration"]).first().asDict()
     assert flat["num_buys_bundle_count"] == 1 and flat["avg_duration_top1"] == 4
@@ -152,13 +153,13 @@ def test_stores(spark, small, tmp_path):
 def test_models(spark, small, tmp_path):
     df = impressions(spark, small).withColumn("h", F.col("hour").cast("double")).select("row_id", "h", "user_id", "iap_revenue_d7", "buyer_d7")
     names = ["h", "user_id"]
-    teachers = model.fit_teachers(df, names, trees=2, depth=2)
+    teachers = model.fit_teachers(df, names, model.Boosting(2, 2))
     teachers.save(str(tmp_path / "m"))
     a, b = (sorted(m.score(df).select("row_id", "gated").collect()) for m in (teachers, model.load(str(tmp_path / "m"), names)))
     assert a == b and all(r["gated"] >= 0 for r in a)
     labels = model.soft_labels(teachers, df)
     stores.save_soft_labels(labels, str(tmp_path / "l"))
-    students = model.fit_students(df.select("row_id", *names), stores.load_soft_labels(spark, str(tmp_path / "l")), names, trees=2, depth=2)
+    students = model.fit_students(df.select("row_id", *names), stores.load_soft_labels(spark, str(tmp_path / "l")), names, model.Boosting(2, 2))
     assert students.score(df).where("p_buyer < 0 or p_buyer > 1").count() == 0
     assert [n for n, _ in teachers.importances()] and len(teachers.importances()) == 2
 
@@ -180,3 +181,105 @@ def test_tables_compared(spark):
     assert stats.drop_sparse(a.withColumn("n", F.lit(None).cast("int"))).columns == ["k", "v"]
     assert features.feature_sets(a)["dense"] == ["k", "v"]
     assert stats.union_all(a, b).columns == ["k", "v", "w"]
+
+
+def test_split_keeps_null_rows(spark):
+    df = spark.createDataFrame([(None, 1), ("b", None), ("a", 2), (None, None), ("b", 3)], "t string, k long")
+    for few in (10_000, 1):
+        a, b = sampling.ordered_split(df, "t", "k", 0.6)
+        assert sorted(map(str, a.collect() + b.collect())) == sorted(map(str, df.collect())) and a.count() == 3
+        assert a.where("t = 'b'").count() == 0
+        edge = ranks.kth(df, ["t", "k"], 3, few)
+        assert spark.range(1).select(edge.alias("e")).first()["e"] == ("b", None)
+    assert ranks.kth(df, ["t", "k"], 5) is None
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(2)
+    values = [(rng.choice("xy"), i, rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(values, "g string, i int, n int")
+    for each in (10_000, 7):
+        rows = ranks.running(df, ["i"], ["n"], ("g",), each).collect()
+        for r in rows:
+            own = [n for g, i, n in values if g == r["g"]]
+            assert r["n_total"] == sum(own) and r["n_before"] == sum(n for g, i, n in values if g == r["g"] and i < r["i"])
+        assert len(rows) == 300
+
+
+def test_quantiles_of_many_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.zeros(15_000), rng.exponential(size=15_000), [np.nan]])
+    at = [0.0, 0.25, 0.5, 0.77, 0.999]
+    got = ranks.quantile_values(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", at)
+    assert got == pytest.approx(np.quantile(np.where(np.isnan(x), 1e9, x), at).tolist())  # NaN is the largest
+    assert ranks.quantile_values(spark.createDataFrame([], "x double"), "x", at) == [None] * 5
+
+
+def test_metrics_with_odd_scores(spark):
+    df = spark.createDataFrame([(1, float("nan")), (0, float("inf")), (1, 0.3), (0, float("-inf")), (None, 0.1), (1, None)], "y int, s double")
+    assert evaluate.auc_roc(df, "y", "s").first()[0] == pytest.approx(3 / 4)
+
+
+def test_out_of_fold_leaves_own_rows_out(spark):
+    rows = [(i, "ab"[i % 2], i % 3 == 0, float(i)) for i in range(40)] + [(40, None, True, 1.0), (41, "c", True, 1.0)]
+    df = spark.createDataFrame([(i, k, int(b), v) for i, k, b, v in rows], "row_id long, c string, buyer_d7 int, iap_revenue_d7 double")
+    found = stats.out_of_fold(df, "c", "row_id", 3).withColumn("fold", F.pmod(F.xxhash64("row_id", F.lit(42)), F.lit(3))).collect()
+    assert len(found) == 42
+    for r in found:
+        rest = [x["iap_revenue_d7"] for x in found if x["c"] == r["c"] and x["fold"] != r["fold"] and r["c"] is not None]
+        assert r["avg_rev_d7"] == (pytest.approx(sum(rest) / len(rest)) if rest else None)
+
+
+def test_a_large_table_does_not_hold_back_small_ones(spark):
+    from sparkloom.operators.settled import settled_by
+
+    df = spark.createDataFrame([("big", i) for i in range(20)] + [("small", 1)], "t string, k int")
+    parts = settled_by(df, "t", ["big", "small", "none"], 5)
+    assert parts["small"].isLocal() and not parts["big"].isLocal() and [parts[x].count() for x in ("big", "small", "none")] == [20, 1, 0]
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "c string")
+    table = spark.createDataFrame([("a", 2), ("a", 1)], "key string, value int")
+    assert sorted(map(tuple, encoding.map_values(df, "c", table, "v").collect()), key=str) == [("a", 1), ("b", None)]
+    assert encoding.first_seen_codes(df.withColumn("o", F.when(F.col("c") == "a", 2).otherwise(1)), "c", "o").collect() == [("b", 0), ("a", 1)]
+
+
+def test_labelled_rows_and_batches_of_features(spark, tmp_path):
+    root, test = str(tmp_path / "t"), str(tmp_path / "u")
+    df = spark.range(72).withColumn("datetime", F.date_format(F.timestamp_seconds(F.lit(1759276800) + F.col("id") * 3600), "yyyy-MM-dd-HH-mm")).withColumn("iap_revenue_d7", F.lit(1.0))
+    stores.append_windows(df, root)
+    stores.append_windows(df.drop("iap_revenue_d7"), test)
+    windows = scan.Windows("2025-10-01-00-00", "2025-10-01-23-00", "2025-10-02-00-00", "2025-10-02-23-00", "2025-10-03-00-00", "2025-10-03-23-00")
+    loader = scan.Loader(spark, root, test, windows)
+    assert loader.load_test().count() == 24 and loader.load_labelled("2025-10-02-00-00", "2025-10-02-05-00").count() == 6
+    assert scan.Loader(spark, root, root, windows).load_labelled("", "").count() == 24
+    calls = []
+
+    def build(part):
+        calls.append(part.count())
+        return part.select("id", "datetime")
+
+    got = pipelines.progressive_features(spark.read.parquet(root), build, str(tmp_path / "f"), ("2025-10-01-00-00", "2025-10-03-11-00"), 1)
+    assert calls == [24, 24, 12] and got.count() == 60
+
+
+def test_settings_and_arguments(spark, tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text('{"train_path": "t", "boosting": {"trees": 3}}')
+    assert pipelines.Settings.read(spark, str(path)).boosting == {"trees": 3}
+    path.write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        pipelines.Settings.read(spark, str(path))
+    a = train.arguments(["in", "out", "--full", "--batch-days", "2", "--eval-test"])
+    assert (a.mode, a.batch_days, a.eval_test, a.days) == ("full", 2, True, None)
+
+
+def test_revenue_windows(spark, small, tmp_path):
+    df = impressions(spark, small).select("ts", "country", "buyer_d7", "iap_revenue_d7")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = online.read_files(spark, str(tmp_path / "in"), df.schema)
+    online.append_available(online.revenue_windows(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
