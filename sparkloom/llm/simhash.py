@@ -19,26 +19,25 @@ fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm._graph import components
-from sparkloom.llm._session import kept
+from sparkloom.llm._session import few, kept, packed, unpacked, with_group, with_rows, written
 
 BITS, NEAR, SHINGLE, TILE = 64, 4, 4, 4096
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 STRIDE = 1 << 16
 #: Rows of (key, fingerprint) in one partition of the block join.
 KEYS_PER_TASK = 500_000
-#: Rows (of a few longs) that a join broadcasts; more are shuffled.
-BROADCAST = 500_000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -111,12 +110,29 @@ def forest(fp: np.ndarray, doc: np.ndarray, near: int = NEAR) -> list[tuple[int,
     return edges
 
 
+class Rule(NamedTuple):
+    """When members of one key link.  Members are rows of longs, the first of which is their id."""
+
+    pairwise: Callable[[np.ndarray, np.ndarray], np.ndarray]  # whether the members of two tables link, row by row
+    group: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  # links (a, b) that connect what links in a table
+    across: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # and between two tables
+
+
+def within(near: int = NEAR) -> Rule:
+    """Members (doc, fingerprint) link within `near` differing bits."""
+
+    def group(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.array(forest(m[:, 1].view(np.uint64), m[:, 0], near), np.int64).reshape(-1, 2)
+        return edges[:, 0], edges[:, 1]
+
+    return Rule(lambda x, y: np.bitwise_count((x[:, 1] ^ y[:, 1]).view(np.uint64)) <= near, group, lambda x, y: group(np.concatenate([x, y])))
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("tile", pa.int64()), ("data", pa.binary())])
 LINKS = "a long, b long, key long, tile long, data binary"
 
 
-def _links(edges: list[tuple[int, int]] | tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    a, b = edges if isinstance(edges, tuple) else (np.array([x[0] for x in edges], np.int64), np.array([x[1] for x in edges], np.int64))
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, pa.nulls(len(a), pa.binary())], schema=_LINKS)
 
@@ -126,130 +142,129 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _linker(near: int, tile: int, small: int = 8):
-    def groups(key: np.ndarray, fp: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _linker(rule: Rule, tile: int, small: int = 8):
+    def groups(key: np.ndarray, members: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Links within complete groups."""
         starts, sizes = _runs(key)
         short = np.repeat(sizes <= small, sizes)
-        k, f, d = key[short], fp[short], doc[short]
+        k, m = key[short], members[short]
         for o in range(1, small):
-            same = (k[o:] == k[:-o]) & (np.bitwise_count(f[o:] ^ f[:-o]) <= near) if len(k) > o else np.zeros(0, bool)
-            if same.any():
-                yield _links((d[o:][same], d[:-o][same]))
+            same = np.flatnonzero(k[o:] == k[:-o]) if len(k) > o else np.zeros(0, np.int64)
+            same = same[rule.pairwise(m[same], m[same + o])] if len(same) else same
+            if len(same):
+                yield _links(m[same + o, 0], m[same, 0])
         for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
-            yield _links(forest(fp[s : s + n], doc[s : s + n], near))
+            yield _links(*rule.group(members[s : s + n]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; a group that outgrows a tile is passed on tile by tile."""
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        key, held = np.zeros(0, np.int64), None
         large, tiles = None, 0  # the key that has already filled a tile, and how many
 
-        def shipped(f: np.ndarray, d: np.ndarray, key: int) -> Iterator[pa.RecordBatch]:
-            nonlocal tiles
-            yield _links(forest(f, d, near))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([tiles], pa.int64()), pa.array([np.stack([f.view(np.int64), d]).tobytes()], pa.binary())], schema=_LINKS)
-            tiles += 1
-
         def tiled(last: bool) -> Iterator[pa.RecordBatch]:
             """Ships full tiles of the held key (at its end also the rest)."""
-            nonlocal held, large, tiles
-            k = int(held[0][0])
+            nonlocal key, held, large, tiles
+            k = int(key[0])
             if large != k:
                 large, tiles = k, 0
-            while len(held[0]) >= tile or last and len(held[0]):
-                yield from shipped(held[1][:tile], held[2][:tile], k)
-                held = [x[tile:] for x in held]
+            while len(key) >= tile or last and len(key):
+                yield _links(*rule.group(held[:tile]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.array([tiles], pa.int64()), pa.array([held[:tile].tobytes()], pa.binary())], schema=_LINKS)
+                tiles += 1
+                key, held = key[tile:], held[tile:]
 
         for batch in batches:
-            key, fp, doc = (np.asarray(batch.column(i)) for i in range(3))
-            if not len(key):
+            if not len(batch):
                 continue
-            held = [np.concatenate([h, x]) for h, x in zip(held, (key, fp.view(np.uint64), doc))]
-            while len(held[0]):
-                starts, sizes = _runs(held[0])
+            columns = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
+            members = np.stack(columns[1:], axis=1)
+            key, held = np.concatenate([key, columns[0]]), members if held is None else np.concatenate([held, members])
+            while len(key):
+                starts, sizes = _runs(key)
                 if len(starts) > 1:  # all groups but the last are complete
-                    if int(held[0][0]) == large or sizes[0] > tile:
-                        rest = [x[sizes[0] :] for x in held]
-                        held = [x[: sizes[0]] for x in held]
+                    if int(key[0]) == large or sizes[0] > tile:
+                        rest = key[sizes[0] :], held[sizes[0] :]
+                        key, held = key[: sizes[0]], held[: sizes[0]]
                         yield from tiled(True)
-                        large, held = None, rest
+                        large, (key, held) = None, rest
                         continue
                     over = np.flatnonzero(sizes[:-1] > tile)
                     end = starts[over[0]] if len(over) else starts[-1]
-                    yield from groups(*(x[:end] for x in held))
-                    held = [x[end:] for x in held]
+                    yield from groups(key[:end], held[:end])
+                    key, held = key[end:], held[end:]
                     continue
-                if len(held[0]) > tile or int(held[0][0]) == large and len(held[0]) >= tile:
+                if len(key) > tile or int(key[0]) == large and len(key) >= tile:
                     yield from tiled(False)
                 break
-        if len(held[0]):
-            if int(held[0][0]) == large:
+        if len(key):
+            if int(key[0]) == large:
                 yield from tiled(True)
             else:
-                yield from groups(*held)
+                yield from groups(key, held)
 
     return run
 
 
-def _across(near: int):
+def _across(rule: Rule, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one, two in zip(batch.column(0), batch.column(1)):
-                both = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in (one, two)]
-                fp, doc = np.concatenate(both, axis=1)
-                yield _links(forest(fp.view(np.uint64), doc, near)).select(["a", "b"])
+                yield _links(*rule.across(*(np.frombuffer(x.as_py(), np.int64).reshape(-1, width) for x in (one, two)))).select(["a", "b"])
 
     return run
 
 
+def links_by_key(rows: DataFrame, rule: Rule, n: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links by the rule between the rows (key, and the members' longs) of each key; n is about how many rows there are.
+
+    A key of more rows than a tile is shipped as tiles, and each pair of its
+    tiles is compared in the task of the pair's first or second tile.
+    """
+    dealt = rows.repartition(max(1, -(-n // KEYS_PER_TASK)), "key").sortWithinPartitions("key")
+    found = written(dealt.mapInArrow(_linker(rule, tile), LINKS))
+    tiles = found.where("tile is not null").select("key", "tile", "data")
+    out = found.where("a is not null").select("a", "b")
+    if not tiles.isEmpty():
+        each = tiles.select("key", "tile")
+        pairs = each.alias("x").join(each.alias("y"), F.expr("x.key = y.key and x.tile < y.tile")).select("x.key", F.col("x.tile").alias("one"), F.col("y.tile").alias("two"))
+        for side in ("one", "two"):
+            pairs = pairs.join(tiles.select("key", F.col("tile").alias(side), F.col("data").alias(f"data_{side}")), ["key", side])
+        out = out.unionByName(pairs.select("data_one", "data_two").mapInArrow(_across(rule, len(rows.columns) - 1), "a long, b long"))
+    return out.distinct()
+
+
 def near_links(nodes: DataFrame, n: int, near: int = NEAR, tile: int = TILE) -> DataFrame:
     """(a, b): links between nodes (fp, doc_id; fp distinct) that connect all pairs within `near` bits."""
     masks = block_masks(n, near)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
-    tasks = max(1, -(-n * len(masks) // KEYS_PER_TASK))
-    rows = nodes.select(F.explode(keys).alias("key"), "fp", "doc_id").repartition(tasks, "key").sortWithinPartitions("key", "fp")
-    found = kept(rows.mapInArrow(_linker(near, tile), LINKS))
-    tiles = found.where("tile is not null").select("key", "tile", "data")
-    pairs = tiles.alias("x").join(tiles.alias("y"), F.expr("x.key = y.key and x.tile < y.tile")).select(F.col("x.data").alias("p"), F.col("y.data").alias("q"))
-    return found.where("a is not null").select("a", "b").unionByName(pairs.mapInArrow(_across(near), "a long, b long")).distinct()
+    return links_by_key(nodes.select(F.explode(keys).alias("key"), "doc_id", "fp"), within(near), n * len(masks), tile)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, near: int = NEAR, tile: int = TILE) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
     own = kept(fingerprints(docs, size))
-    nodes = kept(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    named = nodes.where("doc_id is not null")
+    nodes = kept(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n")))
+    named = nodes.where("doc_id is not null").select("fp", "doc_id")
     roots = components(near_links(named, nodes.count(), near, tile))
-    labelled = nodes.join(roots, nodes.doc_id == roots.node, "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
-    return own.join(labelled, "fp").select("doc_id", "fp", "component_id")
-
-
-def few(table: DataFrame) -> DataFrame:
-    """`table`, written once, for a join that broadcasts it if it has few rows."""
-    table = kept(table)
-    return F.broadcast(table) if table.count() <= BROADCAST else table
-
-
-def with_rows(docs: DataFrame) -> DataFrame:
-    """`docs`, written once, with a key `_row` of each row, as ids may be null or repeated."""
-    return kept(docs.withColumn("_row", F.monotonically_increasing_id()))
+    labelled = nodes.join(roots, nodes.doc_id == roots.node, "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"), "_n")
+    return with_group(own, kept(labelled), "fp", "_n").select("doc_id", "fp", "component_id")
 
 
-def one_per_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+def one_per_component(rows: DataFrame, doc_id: Column, found: DataFrame) -> DataFrame:
     """Of each component in found (row, component) the one of `rows` with the smallest doc_id; a null one only where there is no other."""
-    ids = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    ids = rows.select(F.col("_row").alias("row"), doc_id.cast("long").alias("_id"))
     member = kept(found.join(ids, "row").select("component", F.struct(F.col("_id").isNull().alias("none"), "_id", "row").alias("me")))
-    first = member.groupBy("component").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = member.join(first, "component").where("me.row <> first.row").select(F.col("me.row").alias("_row"))
-    return rows.join(few(gone), "_row", "left_anti").drop("_row")
+    first = kept(member.groupBy("component").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = with_group(member, first, "component", "n").where("me.row <> first.row").select(F.col("me.row").alias("_row"))
+    return rows.join(few(gone), "_row", "left_anti")
 
 
 def survivors(docs: DataFrame, size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """One row of `docs` for each component, with all its columns: that with the smallest doc_id."""
     rows = with_rows(docs)
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size, near)
-    return one_per_component(rows, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), packed(docs, "text").alias("text")), size, near)
+    return unpacked(one_per_component(rows, packed(docs, "doc_id"), found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))), docs)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

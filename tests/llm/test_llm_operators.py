@@ -310,8 +310,13 @@ def test_near_copies_as_brute_force(spark):
         root = [a if r == b else r for r in root]
     far = [(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() for i, j in pairs]
     assert sum(x > 4 for x in far) > 20
-    left = corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()
+    docs = frame(spark, texts)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in left) == sorted(set(root))
+    # Keys dealt in tiles, and components compared pair by pair.
+    rows = docs.select(F.col("doc_id").alias("_row"), "text")
+    for tile, whole in ((3, 1 << 20), (4096, 150), (3, 1)):
+        assert {r["row"]: r["component"] for r in near_copies.near_copies(rows, tile=tile, whole=whole).collect()} == dict(enumerate(root))
 
 
 # 9
