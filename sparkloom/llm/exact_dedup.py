@@ -16,9 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkloom.llm._session import kept
+from sparkloom.llm._session import kept, unpacked, with_group, with_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most cells of the filter, whatever the input: 2 ** 27 cells are at most 2 ** 21 words of 64, 32 MB, to broadcast.
@@ -64,22 +63,23 @@ def groups(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     rows = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")))
     marked = possibly_repeated(rows, "text_sha256", most_cells)
     lone = marked.where(~F.col("_again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = marked.where("_again").drop("_again")
-    first = again.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_top"), F.count("*").alias("group_size"))
-    compared = again.join(first, "text_sha256").select("doc_id", F.col("_top.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_top._row")).alias("kept"), "text_sha256")
+    again = kept(marked.where("_again").drop("_again"))
+    first = kept(again.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_top"), F.count("*").alias("group_size")))
+    compared = with_group(again, first, "text_sha256", "group_size").select("doc_id", F.col("_top.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_top._row")).alias("kept"), "text_sha256")
     return lone.unionByName(compared)
 
 
 def survivors(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns (whatever their names)."""
-    names = docs.columns
-    struct = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema.fields)])
-    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("_all"), F.col("doc_id").cast("long").alias("_id"), F.sha2(normalised(), 256).alias("_sha"))
-    assert packed.schema["_all"].dataType.names == struct.names
-    marked = possibly_repeated(packed, "_sha", most_cells)
+    """The rows of `docs` that stay, with all their columns (whatever their names).
+
+    Digests are written next to the rows once; the passes read only them, and
+    the rows at the end.
+    """
+    rows = with_rows(docs, _id=F.col("doc_id").cast("long"), _sha=F.sha2(normalised(), 256))
+    marked = possibly_repeated(rows, "_sha", most_cells)
     lone = marked.where(~F.col("_again")).select("_all")
     best = marked.where("_again").groupBy("_sha").agg(F.max_by("_all", F.coalesce("_id", F.lit(-(1 << 63)))).alias("_all")).select("_all")
-    return lone.unionByName(best).select(*(F.col(f"_all.c{i}").alias(c) for i, c in enumerate(names)))
+    return unpacked(lone.unionByName(best), docs)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkloom.llm._session import kept
+from sparkloom.llm._session import kept, with_group
 
 SHARDS = 16
 #: Rows that one window partition numbers.
@@ -89,14 +89,14 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("_group")))
-    groups = kept(rows.groupBy("_group").agg(F.sum("size").alias("weight")))
+    groups = kept(rows.groupBy("_group").agg(F.sum("size").alias("weight"), F.count("*").alias("members")))
     n_groups, n_rows = groups.count(), rows.count()
     histogram = ((r[0], r[1]) for r in groups.groupBy("weight").count().orderBy(F.desc("weight")).toLocalIterator())
     plan = _parallel(rows.sparkSession, schedule(histogram, shards))
     placed = numbered(groups, "weight", ["_group"], n_groups, "_number").join(plan, "weight")
     shard: Column = F.expr("element_at(shards, cast(size(filter(upto, x -> x <= _number)) as int) + 1)")
-    placed = placed.select("_group", shard.cast("int").alias("shard"))
-    dealt = kept(rows.join(placed, "_group").drop("_group"))
+    placed = kept(placed.select("_group", shard.cast("int").alias("shard"), "members"))
+    dealt = kept(with_group(rows, placed, "_group", "members").drop("_group", "members"))
     return numbered(dealt, "shard", ["doc_id", "text_crc32", "size"], n_rows, "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 

@@ -171,6 +171,39 @@ def test_line_dedup_edges(spark):
     assert all(r["text"] == (ODD[i] or "") for i, r in rows.items() if not r["spans"])
 
 
+def test_line_dedup_of_long_lines(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    half = [" ".join(f"{c}{i}" for i in range(25)) for c in "ab"]
+    short = " ".join(f"w{i}" for i in range(49))
+    texts = [f"x\n{long}\ny", f"p\n{long}\nq", long, "\n".join(half), "z\n" + "\n".join(half), half[0], short, short, f"{half[0]}\nother"]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(frame(spark, texts)).collect()}
+    assert rows == {0: texts[0], 1: "p\nq", 2: "", 3: texts[3], 4: "z", 5: half[0], 6: short, 7: short, 8: texts[8]}
+
+
+def test_line_dedup_by_document(spark):
+    """Ids that repeat are documents of their own; a null one comes last; rows that repeat both id and text share one result."""
+    lines = lambda s: "\n".join(s.split())
+    rows = [(0, lines("a b c d")), (1, lines("x a b c y")), (1, lines("p q r s t")), (None, lines("q r s")), (2, lines("m n o")), (2, lines("m n o")), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit(1)).withColumn("spans", F.lit(2))
+    got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.without_repeats(docs).collect())
+    assert got == sorted([("0", rows[0][1]), ("1", "x\ny"), ("1", rows[2][1]), ("None", ""), ("2", rows[4][1]), ("2", rows[4][1]), ("3", "")])
+    assert line_dedup.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_groups_stay_whole(spark, monkeypatch):
+    from sparkloom.llm import _session
+
+    monkeypatch.setattr(_session, "HOT", 3)
+    texts = ["same\nthree\nlines"] * 9 + ["other"] * 5 + [f"t{i}" for i in range(6)] + [None, ""]
+    docs = frame(spark, texts)
+    groups = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.groups(docs).collect()}
+    assert groups == {i: (8, 9) if i < 9 else (13, 5) if i < 14 else (21, 2) if i > 19 else (i, 1) for i in range(22)}
+    assert {r["doc_id"]: r["n_lines"] if not r["spans"] else 0 for r in line_dedup.without_repeats(docs).collect()} == {i: 3 if i == 0 else 0 if i < 9 else 1 for i in range(22)}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {i: 0 if i < 9 else 9 if i < 14 else 20 if i > 19 else i for i in range(22)}
+    shards = {r["doc_id"]: r["shard"] for r in sharding.assign(docs).collect()}
+    assert len({shards[i] for i in range(9)}) == 1 and len(shards) == 22
+
+
 # 6
 
 
