@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by grouping sorted suffixes.
+"""Removal of long repeated byte strings by longest previous factors.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts in a
 document with a smaller doc_id is removed; strings are those of the input.
@@ -11,16 +11,18 @@ document with a smaller doc_id is removed; strings are those of the input.
 3. For runs with such anchors, the chunk sends each distinct text of a run, with
    the smallest doc_id that has it, to the anchor's bucket, where all copies of
    all its strings meet.
-4. The bucket sorts the suffixes that start a string, to the length that
-   matters, and gives each group of equal strings the smallest document that
-   has them.  A string has a previous factor of full length in an earlier
-   document exactly if that is smaller than its own; no shorter factors are made.
+4. The bucket sorts the suffixes that start a string by their first ``LENGTH``
+   bytes and then by document, and finds for each the previous and the next
+   suffix of a smaller document; the longer of the two common prefixes is its
+   longest previous factor, of which one bit goes back: whether it is a whole
+   string.  So the factors of a text need only be compared within its bucket.
 5. The chunk marks the covered bytes of each document.
 
 A text travels to Python once per pass and is shuffled once.  A passage that a
 third of all documents share is one text per chunk, however many documents have
-it.  Null texts are empty; a null doc_id is larger than any other; of rows that
-repeat a doc_id none is earlier than another.
+it.  Null and empty texts have no strings; a null doc_id is larger than any
+other; of rows that repeat a doc_id none is earlier than another.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ STARTS = 32
 #: Text of a chunk: what it takes in a worker is about 40 times as much.
 CHUNK_BYTES = 4 << 20
 BLOCK = 1 << 16
+#: Chunks for each bucket.
+SPREAD = 2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LAST = np.int64((1 << 63) - 1)
 
@@ -190,20 +194,18 @@ def _same(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse
 
 
-def earliest(rows: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each string of `length` bytes in the texts: the smallest document that has it, text by text.
+def suffixes(rows: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of the strings of texts: (order, documents in it, common prefix of each with the one before).
 
-    Suffixes that start a string are sorted by their first `length` bytes, ties
-    by document: the truncated suffix array.  A suffix's longest previous factor
-    is the longer common prefix with the nearest suffix of a smaller document
-    on either side; it has full length only within a run of equal strings,
-    whose first entry is its smallest document.
+    Suffixes are numbered text by text and start by start, and sorted by their
+    first `length` bytes, then by document; prefixes count up to `length`.
     """
     size = rows[:, -1].astype(np.int64)
     text = np.repeat(np.arange(len(rows)), size)
-    if not len(text):
-        return np.zeros(0, np.int64)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
     view = np.lib.stride_tricks.sliding_window_view(np.pad(rows, ((0, 0), (0, 8))), 8, axis=1)
 
     def word(which: np.ndarray, w: int) -> np.ndarray:
@@ -212,9 +214,15 @@ def earliest(rows: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndar
         over = 8 * (w + 1) - length
         return key if over <= 0 else key >> np.uint64(8 * over)
 
-    key = word(np.arange(len(text)), 0)
+    def level(key: np.ndarray) -> np.ndarray:
+        """Leading bytes that neighbours have in common (8 where they are equal)."""
+        differ = key[1:] ^ key[:-1]
+        return sum((differ < np.uint64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8)) + (differ == 0)
+
+    key = word(np.arange(n), 0)
     order = np.argsort(key, kind="stable")
     key = key[order]
+    common = np.concatenate(([0], level(key << np.uint64(8 * max(0, 8 - length)))))
     same = np.concatenate(([False], key[1:] == key[:-1]))
     # Most significant word first: each further word only orders suffixes that are still equal.
     for w in range(1, -(-length // 8)):
@@ -227,12 +235,44 @@ def earliest(rows: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndar
         order[where] = order[where[sub]]
         key = key[sub]  # groups stay in place, so same[where] still tells where they begin
         again = same[where]
+        over = max(0, 8 * (w + 1) - length)
+        more = level(key << np.uint64(8 * over))
+        common[where[1:][again[1:]]] = (8 * w + more)[again[1:]]
         again[1:] &= key[1:] == key[:-1]
         same[where] = again
-    starts = np.flatnonzero(~same)
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.cumsum(~same) - 1
-    return np.minimum.reduceat(doc[text][order], starts)[rank]
+    common[same] = length
+    ranked = np.lexsort((doc[text[order]], np.cumsum(~same)))
+    order = order[ranked]
+    return order, doc[text[order]], common
+
+
+def previous_factors(doc: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors in suffix order: for each suffix the longest prefix that one of a smaller document has, if it reaches `least` (else 0).
+
+    Each suffix points to its neighbour and jumps to where that one points, while
+    it isn't of a smaller document and what is in common on the way reaches
+    `least`: the previous smaller value, and from the other end the next one.
+    """
+    out = np.zeros(len(doc), np.int64)
+    for d, shared in ((doc, common), (doc[::-1], np.concatenate(([0], common[:0:-1])))):
+        smaller, way = np.arange(len(d)) - 1, shared.copy()
+        way[smaller < 0] = 0
+        open_ = np.flatnonzero(way >= least)
+        while len(open_ := open_[d[smaller[open_]] >= d[open_]]):
+            on = smaller[open_]
+            way[open_], smaller[open_] = np.minimum(way[open_], way[on]), smaller[on]
+            open_ = open_[way[open_] >= least]
+        found = np.where((smaller >= 0) & (way >= least), way, 0)
+        out = np.maximum(out, found if d is doc else found[::-1])
+    return out
+
+
+def earlier(rows: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each string of `length` bytes in the texts (text by text): whether it is in a text of a smaller document."""
+    order, documents, common = suffixes(rows, doc, length)
+    out = np.zeros(len(order), bool)
+    out[order] = previous_factors(documents, common, length) >= length
+    return out
 
 
 OUT = "doc_id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long"
@@ -263,7 +303,7 @@ def _answer_shared(key, table):
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: doc_id, kept (remaining bytes), spans (maximal removed byte ranges), n_bytes."""
     base, n = chunked(docs, chunk_bytes)
-    buckets = n
+    buckets = -(-n // SPREAD)
     width = length + STARTS
 
     def ask(key, table):
@@ -280,7 +320,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
         return pieces([(b, int(key[0].as_py()), low[which].tobytes() + rows[which].tobytes()) for b, which in dealt.items()])
 
     def factors(key, table):
-        """Bucket: the smallest document of every string of every text, as each chunk sent it."""
+        """Bucket: of every string of every text that a chunk sent, whether it is in a document smaller than the text's smallest there."""
         rows, low, sizes = [], [], []
         for d in table.column("data").to_pylist():
             k = len(d) // (8 + width)
@@ -292,35 +332,35 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
         least = np.full(len(first), LAST)
         np.minimum.at(least, inverse, low)
         rows = rows[first]
-        found = earliest(rows, least, length)
+        found = earlier(rows, least, length)
         size = rows[:, -1].astype(np.int64)
         begin = np.cumsum(size) - size
         out, at = [], 0
         for chunk, k in zip(table.column("chunk").to_pylist(), sizes):
-            own = inverse[at : at + k]
+            own, here = inverse[at : at + k], low[at : at + k]
             at += k
             each = np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-            out.append((int(key[0].as_py()), chunk, found[each].tobytes()))
+            out.append((int(key[0].as_py()), chunk, np.packbits(found[each] | np.repeat(least[own] < here, size[own])).tobytes()))
         return pieces(out)
 
     def remove(key, left: pa.Table, masks: pa.Table, firsts: pa.Table) -> pa.Table:
         own = _Chunk(left, length, gram)
         which = own.shared(masks, buckets)
-        rows, _, inverse, dealt = own.texts(which, length, buckets)
+        rows, low, inverse, dealt = own.texts(which, length, buckets)
         size = rows[:, -1].astype(np.int64)
         begin = np.zeros(len(rows), np.int64)
         values, at = [], 0
         for b, data in own.answers(firsts).items():
             mine = dealt[b]
-            v = np.frombuffer(data, np.int64)
+            v = np.unpackbits(np.frombuffer(data, np.uint8), count=int(size[mine].sum()))
             begin[mine] = at + np.cumsum(size[mine]) - size[mine]
             values.append(v)
             at += len(v)
-        value = np.concatenate(values) if values else np.zeros(0, np.int64)
+        value = np.concatenate(values).astype(bool) if values else np.zeros(0, bool)
         n_of = own.size[which]
         nth = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-        earlier = value[np.repeat(begin[inverse], n_of) + nth] < np.repeat(own.doc[which], n_of)
-        at = (np.repeat(own.start[which], n_of) + nth)[earlier]
+        gone = value[np.repeat(begin[inverse], n_of) + nth] | np.repeat(own.doc[which] > low[inverse], n_of)
+        at = (np.repeat(own.start[which], n_of) + nth)[gone]
         step = np.zeros(len(own.body) + 1, np.int32)
         step[at] += 1
         step[at + length] -= 1
@@ -360,51 +400,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_bytes", pa.int64())])
 
 
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """LPF array of a text in memory: at each start, the longest match with an earlier start.
-
-    From the suffix array by prefix doubling, the common prefixes of neighbours,
-    and for each suffix the previous and next one in suffix order that starts
-    earlier.
-    """
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    rank = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    step = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] if step < n else after[:-step]
-        pair = rank * (n + 257) + after
-        distinct, rank = np.unique(pair, return_inverse=True)
-        rank = rank + 1
-        if len(distinct) == n or step >= n:
-            break
-        step *= 2
-    suffixes = np.argsort(rank, kind="stable")
-    common = [0] * n  # of suffixes[i] and suffixes[i - 1]
-    where = np.argsort(suffixes).tolist()
-    order, h = suffixes.tolist(), 0
-    for i in range(n):
-        if where[i]:
-            j = order[where[i] - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            common[where[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    out = [0] * n
-    for sequence, shared in ((order, common), (order[::-1], [0] + common[:0:-1])):
-        stack: list[tuple[int, int]] = []  # (start, common prefix with the entry below)
-        for s, c in zip(sequence, shared):
-            while stack and stack[-1][0] > s:
-                c = min(c, stack.pop()[1])
-            out[s] = max(out[s], c if stack else 0)
-            stack.append((s, c))
-    return np.array(out, np.int64)
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document without its later copies of 50-byte strings."""
     found = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

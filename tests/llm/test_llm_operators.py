@@ -65,12 +65,36 @@ def test_suffix_dedup(spark, length, gram, chunk):
         assert r["n_bytes"] - gone == len(r["kept"]) and all(a["end"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
-def test_longest_previous_factor():
-    rng = random.Random(1)
-    for _ in range(100):
-        t = bytes(rng.choice(b"ab") for _ in range(rng.randrange(40)))
-        want = [max([0] + [next((k for k in range(len(t) - i) if t[i + k] != t[j + k]), len(t) - i) for j in range(i)]) for i in range(len(t))]
-        assert suffix_dedup.longest_previous_factor(t).tolist() == want
+@pytest.mark.parametrize("length", [7, 8, 20, 50])
+def test_previous_factors(length):
+    """Suffix order, common prefixes and factors against all pairs."""
+    rng = np.random.default_rng(length)
+    for n in (1, 2, 30):
+        width = length - 1 + suffix_dedup.STARTS
+        rows = np.zeros((n, width + 1), np.uint8)
+        for row in rows:
+            row[-1] = rng.integers(1, suffix_dedup.STARTS + 1)
+            row[: length - 1 + row[-1]] = rng.choice(np.frombuffer(b"a\xff", np.uint8), length - 1 + row[-1], p=[0.9, 0.1])
+        doc = rng.integers(0, 9, n)
+        strings = [(bytes(row[k : k + length]), d) for row, d in zip(rows, doc.tolist()) for k in range(row[-1])]
+        order, documents, common = suffix_dedup.suffixes(rows, doc, length)
+        assert [strings[i] for i in order] == sorted(strings) and documents.tolist() == [strings[i][1] for i in order]
+        prefix = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+        want = [max((prefix(s, t) for t, e in strings if e < d), default=0) for s, d in strings]
+        assert suffix_dedup.previous_factors(documents, common).tolist() == [want[i] for i in order]
+        assert suffix_dedup.earlier(rows, doc, length).tolist() == [w == length for w in want]
+
+
+def test_suffix_dedup_rows(spark):
+    """Null and repeated ids, very long and empty texts, an empty table."""
+    long = "".join(random.Random(5).choices("abcdefgh ", k=300_000))
+    part = long[1000:1100]
+    rows = [(1, part), (1, part), (None, part + "x"), (None, part + "y"), (0, long), (2, None), (3, "short"), (4, part[:49])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_chunk", F.lit(0))
+    for chunk in (1 << 22, 200):
+        got = sorted((str(r["doc_id"]), bytes(r["kept"])) for r in suffix_dedup.repeats(docs, chunk_bytes=chunk).collect())
+        assert got == sorted([("1", b""), ("1", b""), ("None", b"x"), ("None", b"y"), ("0", long.encode()), ("2", b""), ("3", b"short"), ("4", part[:49].encode())])
+    assert suffix_dedup.repeats(docs.limit(0)).count() == 0
 
 
 # 2
