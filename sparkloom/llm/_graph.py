@@ -14,16 +14,22 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+#: Links that one task handles in a round; fewer tasks write fewer files.
+LINKS = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b longs); root is the smallest node reachable.
 
     Each round links every node's larger neighbours, then its smaller ones, to
     the smallest neighbour; the rounds are logarithmic in the size of a
-    component.  Group minima combine before the shuffle, so a hub costs no
-    more than its edges.  Nulls and self-links are ignored; an empty table has
+    component.  Group minima combine before the shuffle; a hub's links meet in
+    one task, as rows of two longs.  Nulls and self-links are ignored; an empty table has
     no components.
     """
-    now = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct())
+    edges = kept(edges.select("a", "b"))
+    tasks = max(1, -(-edges.count() // LINKS))
+    now = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").coalesce(tasks).distinct().coalesce(tasks))
     state = None
     while True:
         new = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
@@ -31,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = new
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        star = _smallest(large)
+        large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
+        star = _smallest(large).coalesce(tasks)
         small = star.select("u", F.col("m").alias("v")).unionByName(star.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = kept(small.distinct())
+        now = kept(small.distinct().coalesce(tasks))

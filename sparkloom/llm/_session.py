@@ -58,10 +58,14 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"_all.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
+def hinted(table: DataFrame) -> DataFrame:
+    """`table`, which should be kept, for a join that broadcasts it if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
+
 def few(table: DataFrame) -> DataFrame:
     """`table`, written once, for a join that broadcasts it if it has few rows."""
-    table = kept(table)
-    return F.broadcast(table) if table.count() <= BROADCAST else table
+    return hinted(kept(table))
 
 
 def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -71,7 +75,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataF
     they are few, and a broadcast leaves their rows where they are.  No group of
     the rest outgrows a task.
     """
-    hot = kept(groups.where(F.col(size) > HOT))
+    hot = groups.where(F.col(size) > HOT)
     n = hot.count()
     if not n:
         return rows.join(groups, key)

@@ -96,7 +96,9 @@ def spans_of(flat: bytes, words: list[bytes], hit: np.ndarray) -> list[tuple[int
         start = flat.index(word, at)
         at = start + len(word)
         if h:
-            out = [*out[:-1], (out[-1][0], at)] if previous else [*out, (start, at)]
+            if previous:
+                start = out.pop()[0]
+            out.append((start, at))
         previous = h
     return out
 

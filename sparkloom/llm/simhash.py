@@ -142,7 +142,10 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _linker(rule: Rule, tile: int, small: int = 8):
+def _linker(rule: Rule, tile: int, small: int = 8, large_from: int | None = None):
+    def shipped(key: int, number: int | None, members: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([number], pa.int64()), pa.array([members.tobytes()], pa.binary())], schema=_LINKS)
+
     def groups(key: np.ndarray, members: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Links within complete groups."""
         starts, sizes = _runs(key)
@@ -155,6 +158,8 @@ def _linker(rule: Rule, tile: int, small: int = 8):
                 yield _links(m[same + o, 0], m[same, 0])
         for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
             yield _links(*rule.group(members[s : s + n]))
+            if large_from is not None and n > large_from:
+                yield shipped(int(key[s]), None, members[s : s + n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; a group that outgrows a tile is passed on tile by tile."""
@@ -169,7 +174,7 @@ def _linker(rule: Rule, tile: int, small: int = 8):
                 large, tiles = k, 0
             while len(key) >= tile or last and len(key):
                 yield _links(*rule.group(held[:tile]))
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int64()), pa.array([tiles], pa.int64()), pa.array([held[:tile].tobytes()], pa.binary())], schema=_LINKS)
+                yield shipped(k, None if large_from is not None else tiles, held[:tile])
                 tiles += 1
                 key, held = key[tile:], held[tile:]
 
@@ -214,6 +219,25 @@ def _across(rule: Rule, width: int):
     return run
 
 
+def hub_links(rows: DataFrame, rule: Rule, n: int, large_from: int, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) by the rule within each key of `rows` (key, members' longs), and the rows of keys with more than `large_from`.
+
+    The rule is to link members of such a key to a few of them only.
+    """
+    names, width = rows.columns, len(rows.columns) - 1
+    dealt = rows.repartition(max(1, -(-n // KEYS_PER_TASK)), "key").sortWithinPartitions("key")
+    found = written(dealt.mapInArrow(_linker(rule, tile, large_from=large_from), LINKS))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                members = np.frombuffer(data.as_py(), np.int64).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), key)), *(pa.array(members[:, i]) for i in range(width))], names)
+
+    large = found.where("data is not null").select("key", "data").mapInArrow(spread, ", ".join(f"{c} long" for c in names))
+    return found.where("a is not null").select("a", "b").distinct(), large
+
+
 def links_by_key(rows: DataFrame, rule: Rule, n: int, tile: int = TILE) -> DataFrame:
     """(a, b): links by the rule between the rows (key, and the members' longs) of each key; n is about how many rows there are.
 

@@ -372,8 +372,8 @@ def test_near_copies_as_brute_force(spark):
     assert sorted(r["doc_id"] for r in left) == sorted(set(root))
     # Keys dealt in tiles, and components compared pair by pair.
     rows = docs.select(F.col("doc_id").alias("_row"), "text")
-    for tile, whole in ((3, 1 << 20), (4096, 150), (3, 1)):
-        assert {r["row"]: r["component"] for r in near_copies.near_copies(rows, tile=tile, whole=whole).collect()} == dict(enumerate(root))
+    for tile, whole, hubs in ((3, 1 << 20, 64), (4096, 150, 2), (5, 1, 3)):
+        assert {r["row"]: r["component"] for r in near_copies.near_copies(rows, tile=tile, whole=whole, hubs=hubs).collect()} == dict(enumerate(root))
 
 
 # 9
