@@ -7,12 +7,15 @@ order from a continuous base, so each known token has one table there and what
 is left is the probability of the one unknown token.
 
 A token that follows a context once sits at one table.  All others start at
-about their expected tables and are seated by Gibbs sampling, ``MOVES`` random
-customers of each token a sweep, whatever its count: a customer leaves its table and sits down again by the
-Chinese-restaurant rule, and predictive probabilities are averaged over the
-seatings after the burn-in.  Discounts come from the numbers of singletons and
-pairs.  Restaurants are sampled in parallel, and so are the tokens of a
-restaurant within a move.
+about their expected tables and are seated by Gibbs sampling, in which each
+sweep reseats all customers.  Up to ``EXACT`` customers of a token in a context
+leave together, and their tables are drawn from the exact conditional of the
+Chinese-restaurant process given the other tokens' tables; more customers leave
+in ``LEAVES`` random lots that sit down by the Chinese-restaurant rule.
+Predictive probabilities are averaged over the seatings after the burn-in; given
+the parent they are linear in tables, so tables are averaged.  Discounts come
+from the numbers of singletons and pairs.  Restaurants are sampled in parallel,
+and so are a quarter of a restaurant's tokens, or a lot, at a time.
 
 Chunks of documents send their distinct (context, token) counts to the bucket
 of the context.  Buckets ask the bucket of a token for its parental
@@ -26,7 +29,8 @@ end.  Null and empty texts are the end alone.  A null doc_id is learnt from.
 
 from __future__ import annotations
 
-from math import log10
+from functools import lru_cache
+from math import gamma, log10
 
 import numpy as np
 import pandas as pd
@@ -39,7 +43,12 @@ from sparkloom.llm._chunks import PIECE, by_bucket, chunked, counts, mix, pack,
 
 #: Strength of the restaurants of contexts and of their parent.
 STRENGTH, PARENT_STRENGTH = 0.5, 1.0
-BURN_IN, SAMPLES, MOVES = 2, 3, 4
+BURN_IN, SAMPLES = 2, 3
+#: Customers of a token in a context up to which their tables are drawn exactly; lots in which more of them are reseated; parts of the tokens drawn one after another.
+EXACT, LEAVES, PARTS = 1024, 16, 4
+START_ROUNDS = 20
+#: Numbers held at once while tables are drawn.
+BLOCK = 1 << 20
 #: Text of a chunk; larger than elsewhere, as its distinct tokens are sent.
 CHUNK_BYTES = 16 << 20
 END = b"\n"  # no word
@@ -153,51 +162,100 @@ class _Bucket:
         return len(token), place
 
 
-def seatings(owner: np.ndarray, count: np.ndarray, parent: np.ndarray, fixed: np.ndarray, discount: float, strength: float, rng: np.random.Generator, burn_in: int = BURN_IN, samples: int = SAMPLES, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _ratios(discount: float, most: int) -> np.ndarray:
+    """Row c, column t - 1: log of S(c, t + 1) / S(c, t), S the generalised Stirling numbers that count seatings of c customers at t tables."""
+    log_s = np.full((most + 1, most + 1), -np.inf)
+    log_s[1, 1] = 0.0
+    t = np.arange(1, most + 1)
+    for c in range(1, most):
+        n = t[: c + 1]
+        log_s[c + 1, 1 : c + 2] = np.logaddexp(log_s[c, : c + 1], np.log(np.maximum(c - discount * n, 1e-300)) + log_s[c, 1 : c + 2])
+    with np.errstate(invalid="ignore"):
+        return log_s[:, 2:] - log_s[:, 1:-1]
+
+
+def _drawn(c: int, opening: np.ndarray, discount: float, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with c customers each, drawn given all others' tables; opening is strength + discount * those tables."""
+    out = np.empty(len(opening), np.int64)
+    step = max(1, BLOCK // c)
+    for i in range(0, len(opening), step):
+        own = slice(i, i + step)
+        # Against t = 1, each further table counts its opening weight and how many more seatings there are.
+        w = np.zeros((len(opening[own]), c))
+        np.log(parent[own, None] * (opening[own, None] + discount * np.arange(1, c)), out=w[:, 1:])
+        w[:, 1:] += _ratios(discount, EXACT)[c, : c - 1]
+        np.cumsum(w, axis=1, out=w)
+        w -= w.max(axis=1, keepdims=True)
+        np.cumsum(np.exp(w, out=w), axis=1, out=w)
+        out[own] = 1 + (w < rng.random((len(w), 1)) * w[:, -1:]).sum(axis=1)
+    return np.minimum(out, c)
+
+
+def seatings(owner: np.ndarray, count: np.ndarray, parent: np.ndarray, fixed: np.ndarray, discount: float, strength: float, rng: np.random.Generator, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """Average tables of each dish and of each restaurant over Gibbs samples.
 
     Dish i of restaurant owner[i] has count[i] > 1 customers and the parental
     probability parent[i]; fixed holds the tables of each restaurant's dishes
-    with one customer.
+    with one customer.  A sweep reseats every customer of every dish: of up to
+    EXACT customers all at once, by the exact conditional of their tables; of
+    more, in LEAVES lots that leave at random and sit down again, so that work
+    follows the tables and not the customers.
     """
     n, restaurants = len(count), len(fixed)
-    total = fixed + np.bincount(owner, minlength=restaurants)
-    # At first, about as many tables as customers who come one by one would open, the others at the dish's first table.
-    opening = (strength + discount * total[owner]) * parent
-    tables = np.clip(np.rint(1 + opening * np.log1p((count - 1) / (1 + opening))), 1, count).astype(np.int64)
-    total = total + np.bincount(owner, tables - 1, restaurants)
-    first = np.cumsum(tables + 1) - tables - 1
-    size = np.ones(int(tables.sum()) + n, np.int64)  # of each dish its tables, then a free one
-    size[first], size[first + tables] = count - tables + 1, 0
+    # At first, the tables that customers who come one by one would open, given as many tables in the whole restaurant as that makes.
+    total = (fixed + np.bincount(owner, minlength=restaurants)).astype(float)
+    for _ in range(START_ROUNDS):
+        opening = (strength + discount * total[owner]) * parent
+        tables = np.clip(np.rint(1 + opening * np.log1p((count - 1) / (1 + opening))), 1, count).astype(np.int64)
+        total = fixed + np.bincount(owner, tables, restaurants)
+    few, many = np.flatnonzero(count <= EXACT), np.flatnonzero(count > EXACT)
+    few = few[np.argsort(count[few], kind="stable")]
+    # Of many customers the first EXACT are seated by their conditional, the others as they come.
+    opening = strength + discount * (total[owner[many]] - tables[many])
+    begun = _drawn(EXACT, opening, discount, parent[many], rng)
+    more = (opening + discount * begun) * parent[many] * np.log(count[many] / EXACT)
+    total -= np.bincount(owner[many], tables[many], restaurants)
+    tables[many] = np.minimum(begun + np.rint(more).astype(np.int64), count[many])
+    total += np.bincount(owner[many], tables[many], restaurants)
+    dish = np.repeat(np.arange(len(many)), tables[many])
+    # Given their number, sizes of tables are Sibuya variables with a given sum; at first the dish's first table takes what the others leave.
+    size = np.maximum(1, np.minimum((rng.random(len(dish)) * gamma(1 - discount)) ** (-1 / discount), (count // tables)[many][dish])).astype(np.int64)
+    firsts = np.cumsum(tables[many]) - tables[many]
+    size[firsts] += count[many] - np.bincount(dish, size, len(many)).astype(np.int64)
     dish_sum, all_sum = np.zeros(n), np.zeros(restaurants)
     for sweep in range(burn_in + samples):
-        for _ in range(moves if n else 0):
-            first = np.cumsum(tables + 1) - tables - 1
-            # A random customer of each dish leaves.
-            upto = np.cumsum(size)
-            k = np.searchsorted(upto, upto[first] - size[first] + rng.integers(0, count), side="right")
-            size[k] -= 1
-            closed = size[k] == 0
-            tables_now = tables - closed
-            total = total - np.bincount(owner[closed], minlength=restaurants)
-            # It sits down again: at a table by its size less the discount, or at a new one.
-            old = count - 1 - discount * tables_now
-            new = (strength + discount * total[owner]) * parent
-            u = rng.random(n) * (old + new)
-            weight = np.where(size > 0, size - discount, 0.0)
-            upto = np.cumsum(weight)
-            k = np.minimum(np.searchsorted(upto, upto[first] - weight[first] + u, side="right"), first + tables)
-            opens = (u >= old) | (size[k] == 0)
-            k = np.where(opens, first + tables, k)
-            size[k] += 1
-            total = total + np.bincount(owner[opens], minlength=restaurants)
-            # Empty tables go, and each dish has one free table again.
-            dish = np.repeat(np.arange(n), tables + 1)
-            used = np.flatnonzero(size)
-            tables = np.bincount(dish[used], minlength=n)
-            more = np.zeros(len(used) + n, np.int64)
-            more[np.arange(len(used)) + dish[used]] = size[used]
-            size = more
+        part = rng.integers(0, PARTS, len(few))
+        for k in range(PARTS):
+            mine = few[part == k]
+            total -= np.bincount(owner[mine], tables[mine], restaurants)
+            # Dishes of a part see the others' tables of now, and of each other those before the draw.
+            opening = strength + discount * (total[owner[mine]] + np.bincount(owner[mine], tables[mine], restaurants)[owner[mine]] - tables[mine])
+            counts_, starts = np.unique(count[mine], return_index=True)
+            for c, i, j in zip(counts_.tolist(), starts.tolist(), [*starts[1:].tolist(), len(mine)]):
+                tables[mine[i:j]] = _drawn(c, opening[i:j], discount, parent[mine[i:j]], rng)
+            total += np.bincount(owner[mine], tables[mine], restaurants)
+        for _ in range(LEAVES if len(many) else 0):
+            left = rng.binomial(size, 1 / LEAVES)
+            out = np.bincount(dish, left, len(many)).astype(np.int64)
+            size = size - left
+            dish, size = dish[size > 0], size[size > 0]
+            now = np.bincount(dish, minlength=len(many))
+            total += np.bincount(owner[many], now - tables[many], restaurants)
+            # To tables there by their size less the discount, or to new ones.
+            there = count[many] - out - discount * now
+            new = (strength + discount * total[owner[many]]) * parent[many]
+            opens = rng.binomial(out, new / (there + new))
+            ends = np.cumsum(now)
+            for i in np.flatnonzero(out > opens).tolist():
+                at = slice(ends[i] - now[i], ends[i])
+                weight = size[at] - discount
+                size[at] += rng.multinomial(out[i] - opens[i], weight / weight.sum())
+            order = np.argsort(np.concatenate((dish, np.repeat(np.arange(len(many)), opens))), kind="stable")
+            dish = np.concatenate((dish, np.repeat(np.arange(len(many)), opens)))[order]
+            size = np.concatenate((size, np.ones(int(opens.sum()), np.int64)))[order]
+            tables[many] = now + opens
+            total += np.bincount(owner[many], opens, restaurants)
         if sweep >= burn_in:
             dish_sum += tables
             all_sum += total

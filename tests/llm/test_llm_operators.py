@@ -177,12 +177,44 @@ def test_pitman_yor(spark):
     assert sum(r["score"] for r in held) > 1.1 * sum(r["base_score"] for r in held)
 
 
+def one_by_one(count, parent, fixed, discount, strength, sweeps, burn_in):
+    """Average tables of the dishes of one restaurant, its customers reseated one after another."""
+    rng = random.Random(5)
+    tables, out = [[c] for c in count], [0] * len(count)
+    for sweep in range(sweeps):
+        for dish, c in enumerate(count):
+            sizes = tables[dish]
+            for _ in range(c):
+                at = rng.choices(range(len(sizes)), sizes)[0]
+                sizes[at] -= 1
+                if not sizes[at]:
+                    del sizes[at]
+                new = (strength + discount * (fixed + sum(map(len, tables)))) * parent[dish]
+                at = rng.choices(range(len(sizes) + 1), [s - discount for s in sizes] + [new])[0]
+                sizes[at : at + 1] = [sizes[at] + 1] if at < len(sizes) else [1]
+        if sweep >= burn_in:
+            out = [o + len(t) for o, t in zip(out, tables)]
+    return np.array(out) / (sweeps - burn_in)
+
+
 def test_seatings_keep_customers():
     rng = np.random.default_rng(0)
-    owner, count = np.array([0, 0, 1, 2]), np.array([2, 50, 3, 400])
-    tables, total = pitman_yor.seatings(owner, count, np.array([0.1, 0.3, 0.01, 0.5]), np.array([3, 0, 1]), 0.7, 0.5, rng, moves=20)
-    assert (tables >= 1).all() and (tables <= count).all() and tables[3] > 5
+    owner, count = np.array([0, 0, 1, 2, 2]), np.array([2, 50, 3, 400, 30_000])
+    tables, total = pitman_yor.seatings(owner, count, np.array([0.1, 0.3, 0.01, 0.5, 0.4]), np.array([3, 0, 1]), 0.7, 0.5, rng)
+    assert (tables >= 1).all() and (tables <= count).all() and (tables[3:] > 5).all()
     assert total == pytest.approx(np.array([3, 0, 1]) + np.bincount(owner, tables))
+    assert pitman_yor.seatings(owner[:0], count[:0], np.zeros(0), np.array([2]), 0.7, 0.5, rng)[1].tolist() == [2]
+
+
+def test_seatings_by_brute_force(monkeypatch):
+    """Tables drawn at once, and by lots where EXACT is small, are those of customers who move one by one."""
+    count, parent = [2, 3, 10, 40, 300], [0.1, 0.3, 0.02, 0.2, 0.1]
+    want = one_by_one(count, parent, 2, 0.7, 0.5, 1200, 100)
+    for exact in (pitman_yor.EXACT, 32):
+        monkeypatch.setattr(pitman_yor, "EXACT", exact)
+        args = np.zeros(5, int), np.array(count), np.array(parent), np.array([2]), 0.7, 0.5
+        got = np.mean([pitman_yor.seatings(*args, np.random.default_rng(seed), 30, 150)[0] for seed in range(10)], axis=0)
+        assert got == pytest.approx(want, rel=0.12)
 
 
 # 5
