@@ -345,6 +345,20 @@ def test_near_links(spark, tile):
     assert [roots.get(i, i) for i in range(len(values))] == want
 
 
+@pytest.mark.parametrize("most", [1, 7, 60, 200_000])
+def test_components(spark, most):
+    rng = random.Random(3)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(n, n + 1) for n in range(100, 140)] + [(200, n) for n in range(180, 230)] + [(5, None), (None, None), (95, 95)]
+    root = {n: n for pair in links if None not in pair and pair[0] != pair[1] for n in pair}
+    for _ in root:
+        for a, b in links:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(links, "a long, b long").repartition(3)
+    assert sorted(map(tuple, components(edges, most).collect())) == sorted(root.items())
+    assert components(edges.limit(0), most).count() == 0
+
+
 def test_block_masks():
     for n in (1, 10**4, 10**7, 10**10):
         masks = simhash.block_masks(n)
