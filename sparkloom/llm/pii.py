@@ -64,7 +64,7 @@ PROPOSED = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)*+|{_WORDS}{_LABEL}++(?:{_DOT}{_LABEL}++)++)",
     "ip": r"(?i)(?<![0-9])[0-9]{1,3}(?:(?: ?\. ?|\s?[\[({](?:\.|dot)[\])}]\s?| dot |[ ,-])[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+|00)? ?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
+    "phone": r"(?<![0-9])(?:(?:\+|00) ?)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
 }
 #: What a text without a proposed email lacks: one of these signs, or a bare word before a label and a dot of some kind.
 SIGNS, BARE = ["@", *(f"{at}{mark}" for at in ("at", "AT") for mark in "])}")], {f" {at} ": rf" {at} {_LABEL}++{_DOT}{_LABEL}" for at in ("at", "AT")}
@@ -257,8 +257,8 @@ def labelled(found: DataFrame, learn: int = LEARN, negatives: int = NEGATIVES) -
     mine, base = _by_kind(_normal(F.col("s"))), _by_kind(_normal(F.col("base")))
     tail = (F.col("kind") == "phone") & (F.length(mine) >= 9) & (F.endswith(base, mine) | (mine == F.concat(F.lit("00"), base)))
     label = F.col("good") & (F.col("kind") == F.col("truth")) & ((mine == base) | tail)
-    # Of another kind, or a part: no word on whether that is personal data.
-    tried = tried.withColumn("label", label.cast("double")).where((F.col("label") == 1) | ~F.col("good") & (F.col("kind") == F.col("truth")))
+    # A proposal of the right kind that is more or less than the span says nothing; one of another kind is wrong.
+    tried = tried.withColumn("label", label.cast("double")).where((F.col("label") == 1) | ~F.col("good") | (F.col("kind") != F.col("truth")))
     clean = found.select("_row", F.explode("proposed").alias("p")).select("_row", "p.*").where(~F.coalesce(_by_kind(_in_disguise(F.col("s"))), F.lit(False)))
     clean = clean.withColumn("key", F.xxhash64("_row", "kind", "start")).orderBy("key", "s").limit(negatives).withColumns({"label": F.lit(0.0), "way": F.lit(-1)})
     columns = ["key", "way", "kind", "start", "s", "left", "right", "label"]
