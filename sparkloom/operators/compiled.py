@@ -7,9 +7,11 @@ import re
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import evaluate
+
 #: What a fitted tree says of its nodes.
 _TEST = re.compile(r"If \(feature (\d+) (<=|in) (.+)\)$")
 _LEAF = re.compile(r"Predict: (.+)$")
@@ -111,6 +113,50 @@ def _parsed(description: str, features: list[str]) -> Node:
     return read()
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """Two-stage models as expressions: buyer probability, log revenue, and the gated and the soft revenue.
+
+    What `TwoStage.score` gives, without vectors and without the fitted models:
+    a scan that scores reads the features that a tree looks at, and no others.
+    """
+
+    buyer: Ensemble
+    revenue: Ensemble
+
+    def features(self) -> list[str]:
+        return sorted({*self.buyer.features(), *self.revenue.features()})
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """`df` (missing features 0) with p_buyer, log_rev, gated and soft; a projection, row by row."""
+        known = self.features()
+        p = self.buyer.column() if self.buyer.probability else F.least(F.greatest(self.buyer.column(), F.lit(0.0)), F.lit(1.0))
+        out = (df.na.fill(0.0, subset=known) if known else df).withColumn("p_buyer", p).withColumn("log_rev", F.greatest(self.revenue.column(), F.lit(0.0)))
+        return out.withColumns({"gated": evaluate.gate("p_buyer", "log_rev"), "soft": evaluate.product("p_buyer", "log_rev")})
+
+    def sql(self, table: str, key: str = "row_id", threshold: float = 0.5) -> str:
+        """The same as a SELECT of the key and the four numbers, in SQL that other engines read too."""
+        known = ", ".join(f'coalesce("{f}", 0) AS "{f}"' for f in self.features())
+        p = self.buyer.sql() if self.buyer.probability else f"least(greatest({self.buyer.sql()}, 0e0), 1e0)"
+        back = "greatest(exp(log_rev) - 1, 0e0)"
+        return (
+            f"WITH known AS (SELECT {key}{', ' + known if known else ''} FROM {table}), scored AS (SELECT {key}, {p} AS p_buyer, greatest({self.revenue.sql()}, 0e0) AS log_rev FROM known) "
+            f"SELECT {key}, p_buyer, log_rev, CASE WHEN p_buyer >= {_double(threshold)} THEN {back} ELSE 0e0 END AS gated, p_buyer * {back} AS soft FROM scored"
+        )
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row of text, in any store that Spark writes."""
+        spark.createDataFrame([(json.dumps([self.buyer.text(), self.revenue.text()]),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scorer:
+        return cls.of(spark.read.text(path, wholetext=True).first()[0])
+
+    @classmethod
+    def of(cls, text: str) -> Scorer:
+        return cls(*map(Ensemble.of, json.loads(text)))
+
+
 def ensemble(model, features: list[str], probability: bool = False) -> Ensemble:
     """Of a fitted gradient-boosted model (or one tree) whose vector has the `features` in this order."""
     trees = getattr(model, "trees", None) or [model]

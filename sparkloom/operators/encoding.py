@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.scalar import MISSING, UNKNOWN_CODE
 from sparkloom.operators.ranks import running
-from sparkloom.operators.settled import hinted, settled
+from sparkloom.operators.settled import hinted, settled, settled_by
+from sparkloom.sources.scratch import once
 
 
 def _numbered(values: DataFrame, order: list[str], group: tuple[str, ...] = ()) -> DataFrame:
@@ -16,7 +17,7 @@ def _numbered(values: DataFrame, order: list[str], group: tuple[str, ...] = ())
     if values.isLocal():  # few
         return settled(values.withColumn("code", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1))
     found = running(values.withColumn("_one", F.lit(1)), order, ["_one"], group)
-    return found.select(*values.columns, F.col("_one_before").cast("int").alias("code"))
+    return once(found.select(*values.columns, F.col("_one_before").cast("int").alias("code")))
 
 
 def fit_codes(df: DataFrame, c: str) -> DataFrame:
@@ -46,11 +47,56 @@ def apply_codes(df: DataFrame, c: str, codes: DataFrame, name: str | None = None
 
 
 def apply_encoders(df: DataFrame, encoders: DataFrame, columns: list[str]) -> DataFrame:
-    """All columns of `df` in `columns` replaced by their codes."""
+    """All columns of `df` in `columns` replaced by their codes.
+
+    Each column's table is settled or not on its own: one column of very many
+    values doesn't turn the joins of the others into shuffles.
+    """
+    own = [c for c in columns if c in df.columns]
+    tables = settled_by(encoders, "column", own)
+    out = df
+    for i, c in enumerate(own):
+        table = tables[c].select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+        out = out.join(hinted(tables[c], table), F.col(c).cast("string") == F.col(f"_value{i}"), "left").withColumn(c, F.coalesce(f"_code{i}", F.lit(UNKNOWN_CODE))).drop(f"_value{i}", f"_code{i}")
+    return out
+
+
+def ordered_statistics(df: DataFrame, columns: list[str], target: str, row: str, prior: float, weight: float = 1.0, seed: int = 42, suffix: str = "_ts") -> DataFrame:
+    """`df` with a number for each of the categories `columns`: the mean of `target` over the rows of its value that come earlier in a random order.
+
+    The order is that of a digest of the unique key `row`; `weight` rows of the
+    `prior` are added to each mean, so no row's own target is in its number and
+    the first row of a value gets the prior.  Missing values are a value of
+    their own; rows without a target count for nothing.  All columns share one
+    pass of running sums over ranges of the order, so a value that a third of
+    the rows have is not one task's.
+    """
+    entries = F.array(*(F.struct(F.lit(c).alias("_column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("_value")) for c in columns))
+    key = F.col(row).alias("_row")
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string"))).alias("_order")
+    long = df.select(key, shuffled, F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("_y"), F.col(target).isNotNull().cast("long").alias("_n"), F.explode(entries).alias("e")).select("_row", "_order", "_y", "_n", "e.*")
+    found = running(long, ["_order", "_row"], ["_y", "_n"], ("_column", "_value"))
+    mean = (F.col("_y_before") + weight * prior) / (F.col("_n_before") + weight)
+    wide = found.groupBy("_row").agg(*(F.max(F.when(F.col("_column") == c, mean)).alias(f"{c}{suffix}") for c in columns))
+    out = df.join(wide, F.col(row) == F.col("_row"), "left").drop("_row")
+    return out.withColumns({f"{c}{suffix}": F.coalesce(f"{c}{suffix}", F.lit(float(prior))) for c in columns})
+
+
+def target_statistics(df: DataFrame, columns: list[str], target: str, prior: float, weight: float = 1.0) -> DataFrame:
+    """(column, value, statistic) of all rows of `df`, for rows that aren't in it: what ordered_statistics() would give a last row."""
+    entries = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c in columns))
+    long = df.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("_y"), F.explode(entries).alias("e")).select("_y", "e.*")
+    return long.groupBy("column", "value").agg(((F.sum("_y") + weight * prior) / (F.count("*") + weight)).alias("statistic"))
+
+
+def apply_statistics(df: DataFrame, statistics: DataFrame, columns: list[str], prior: float, suffix: str = "_ts") -> DataFrame:
+    """`df` with the statistic of each category; unknown values get the prior."""
+    tables = settled_by(statistics, "column", columns)
     out = df
-    for i, c in enumerate(c for c in columns if c in df.columns):
-        table = encoders.where(F.col("column") == c).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
-        out = out.join(hinted(encoders, table), F.col(c).cast("string") == F.col(f"_value{i}"), "left").withColumn(c, F.coalesce(f"_code{i}", F.lit(UNKNOWN_CODE))).drop(f"_value{i}", f"_code{i}")
+    for i, c in enumerate(columns):
+        table = tables[c].select(F.col("value").alias(f"_value{i}"), F.col("statistic").alias(f"_statistic{i}"))
+        own = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+        out = out.join(hinted(tables[c], table), own == F.col(f"_value{i}"), "left").withColumn(f"{c}{suffix}", F.coalesce(f"_statistic{i}", F.lit(float(prior)))).drop(f"_value{i}", f"_statistic{i}")
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evaluate, sampling, stats
+from sparkloom.operators import compiled, evaluate, sampling, stats
 
 
 @dataclass
@@ -33,6 +33,11 @@ class TwoStage:
         out = out.withColumn("log_rev", F.greatest("prediction", F.lit(0.0))).drop("_features", "prediction")
         return out.withColumns({"gated": evaluate.gate("p_buyer", "log_rev"), "soft": evaluate.product("p_buyer", "log_rev")})
 
+    def compiled(self) -> compiled.Scorer:
+        """The same models as column expressions."""
+        buyer = compiled.ensemble(self.buyer.stages[-1], self.features, self.probability)
+        return compiled.Scorer(buyer, compiled.ensemble(self.revenue.stages[-1], self.features))
+
     def save(self, path: str) -> None:
         self.buyer.write().overwrite().save(f"{path}/buyer")
         self.revenue.write().overwrite().save(f"{path}/revenue")
@@ -93,11 +98,20 @@ def soft_labels(teachers: TwoStage, df: DataFrame) -> DataFrame:
     return scored.select("row_id", "p_buyer", "log_rev", F.col("buyer_d7").cast("double").alias("y_buyer"), F.col("log_rev_d7").alias("y_log_rev"))
 
 
-def fit_students(df: DataFrame, labels: DataFrame, features: list[str], boosting: Boosting = Boosting(10, 4), alpha: float = 0.8) -> TwoStage:
-    """Two small regressors of the blend of teacher outputs and truth, joined by row_id."""
-    own = df.join(labels, "row_id").na.fill(0.0, subset=features)
-    own = own.withColumns({"_p": evaluate.blend("p_buyer", "y_buyer", alpha), "_r": evaluate.blend("log_rev", "y_log_rev", alpha)})
-    buyer, revenue = (_fitted(own, features, GBTRegressor, boosting, labelCol=label) for label in ("_p", "_r"))
+def fit_students(df: DataFrame, labels: DataFrame, features: list[str], boosting: Boosting = Boosting(10, 4), alpha: float = 0.8, validation: tuple[DataFrame, DataFrame] | None = None) -> TwoStage:
+    """Two small regressors of the blend of teacher outputs and truth, joined by row_id.
+
+    With validation rows and their soft labels, boosting stops where the blend
+    of those is no longer met better.
+    """
+
+    def blended(rows: DataFrame, own: DataFrame) -> DataFrame:
+        out = rows.drop(*(c for c in own.columns if c != "row_id")).join(own, "row_id").na.fill(0.0, subset=features)
+        return out.withColumns({"_p": evaluate.blend("p_buyer", "y_buyer", alpha), "_r": evaluate.blend("log_rev", "y_log_rev", alpha)}).select(*features, "_p", "_r")
+
+    own = blended(df, labels)
+    check = blended(*validation) if validation is not None else None
+    buyer, revenue = (_fitted(own, features, GBTRegressor, boosting, check, labelCol=label) for label in ("_p", "_r"))
     return TwoStage(buyer, revenue, features, probability=False)
 
 

@@ -1,4 +1,4 @@
-"""Running sums, order statistics and quantiles, exact, without a window or a buffer that holds all rows."""
+"""Running sums, order statistics and quantiles, exact; what a window or a buffer holds doesn't grow with the rows."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that a range is to hold, and the most ranges (so many bounds go to the driver at most).
-RANGE, MOST_RANGES = 100_000, 1024
+from sparkloom.operators.settled import hinted, settled
+from sparkloom.sources.scratch import once
+
+#: Rows that a range is to hold.
+RANGE = 100_000
 #: Bounds that one pass of kth() counts around.
 BOUNDS = 63
 #: Of approximate quantiles, whose ranks are wrong by at most n / ACCURACY.
@@ -27,19 +30,27 @@ def _bounds(rows: DataFrame, k: int) -> list[Column]:
     return [_literal(r["me"], schema) for r in drawn]
 
 
+def ranged(df: DataFrame, order: list[str], each: int = RANGE) -> DataFrame:
+    """`df`, written once, with `_range`: ranges of `order` (ascending, nulls first) of about `each` rows, numbered in that order.
+
+    There are as many ranges as the rows need.  Rows level in `order` are told
+    apart by a hash, so a value that a third of the rows have fills several.
+    """
+    parts = -(-df.count() // each)
+    if parts <= 1:
+        return df.withColumn("_range", F.lit(0))
+    dealt = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(parts, *order, "_tie")
+    return once(dealt.drop("_tie").withColumn("_range", F.spark_partition_id()))
+
+
 def running(df: DataFrame, order: list[str], sums: list[str], group: tuple[str, ...] = (), each: int = RANGE) -> DataFrame:
     """`df` with, for every column x of `sums`, x_before and x_total of the row's group.
 
     x_before sums the rows before it in `order` (ascending, nulls first; rows
-    level in it are in any order).  Rows are dealt into ranges of `order`, whose
-    bounds are a hashed draw; sums over ranges are made first, so a window
-    holds the rows of one range.
+    level in it are in any order).  Sums over ranged() parts are made first, so
+    a window holds the rows of one range, and one row for each range.
     """
-    ranges = min(MOST_RANGES, -(-df.count() // each))
-    own = df.withColumn("_me", F.struct(*order))
-    bounds = _bounds(own.select(F.col("_me").alias("me")), ranges - 1) if ranges > 1 else []
-    at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("_me"))) if bounds else F.lit(0)
-    own = own.withColumn("_range", at).drop("_me")
+    own = ranged(df, order, each)
     parts = own.groupBy(*group, "_range").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -50,19 +61,22 @@ def running(df: DataFrame, order: list[str], sums: list[str], group: tuple[str,
     same = F.col("_range") == F.col("_part")
     for i, g in enumerate(group):
         same &= F.col(g).eqNullSafe(F.col(f"_key{i}"))
-    out = own.join(parts if group else F.broadcast(parts), same)
+    out = own.join(parts if group else hinted(settled(parts)), same)
     return out.select(*df.columns, *((F.col(f"_{s}0") + F.col(f"_{s}1")).alias(f"{s}_before") for s in sums), *(f"{s}_total" for s in sums))
 
 
 def kth(df: DataFrame, order: list[str], k: int, few: int = 10_000) -> Column | None:
     """A struct literal of the columns `order`: the row that has k rows before it (nulls first), None if there are no more than k.
 
-    Each pass counts the rows around a few drawn bounds and goes on between
-    two of them; what is left when few rows are is ordered.
+    The columns are written once.  Each pass counts the rows around a few drawn
+    bounds and goes on between two of them; what is left when few rows are is
+    ordered.
     """
     left = df.select(F.struct(*order).alias("me"))
     schema = left.schema["me"].dataType
-    while (n := left.count()) > few:
+    n = left.count()
+    left = once(left) if n > few else left
+    while n > few:
         if k >= n:
             return None
         bounds = _bounds(left, BOUNDS)
@@ -77,6 +91,7 @@ def kth(df: DataFrame, order: list[str], k: int, few: int = 10_000) -> Column |
             k -= upto[i - 1]
         if i < len(bounds):
             left = left.where(F.col("me") < bounds[i])
+        n = left.count()
     found = left.orderBy("me").offset(k).limit(1).first()
     return None if found is None else _literal(found["me"], schema)
 

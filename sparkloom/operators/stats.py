@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions.scalar import joined_key
 from sparkloom.operators.ranks import quantile_values, quantiles_by
 from sparkloom.operators.settled import settled_by
+from sparkloom.sources.scan import window
 
 WHALE_LOG = 10.0
 
@@ -45,6 +46,27 @@ def lookup_tables(df: DataFrame, whale_threshold: float = WHALE_LOG) -> dict[str
     return settled_by(every.where("key is not null").groupBy("table", "key").agg(*_stats()), "table", list(keys))
 
 
+def hourly_state(df: DataFrame, whale_threshold: float = WHALE_LOG, hour: str = "datetime") -> DataFrame:
+    """(hour, table, key, n, buyers, valued, revenue, whales): sums from which the lookup tables of any window of hours follow.
+
+    One scan and one shuffle, as lookup_tables(); rows of the state are as many
+    as the keys of each hour.  A stored hour that is computed again is replaced
+    by itself, so late files cost their own hours only.
+    """
+    keys = {"bundle": F.col("advertiser_bundle"), "category": F.col("advertiser_category"), "country": F.col("country"), "segment": segment_key()}
+    entries = F.array(*(F.struct(F.lit(name).alias("table"), key.cast("string").alias("key")) for name, key in keys.items()))
+    every = with_targets(df, whale_threshold).select(hour, F.explode(entries).alias("e"), "buyer_d7", "iap_revenue_d7", "is_whale").select(hour, "e.*", "buyer_d7", "iap_revenue_d7", "is_whale")
+    sums = [F.count("buyer_d7").alias("n"), F.sum("buyer_d7").alias("buyers"), F.count("iap_revenue_d7").alias("valued"), F.sum("iap_revenue_d7").alias("revenue"), F.sum("is_whale").alias("whales")]
+    return every.where("key is not null").groupBy(hour, "table", "key").agg(*sums)
+
+
+def tables_of_state(state: DataFrame, start: str | None = None, end: str | None = None, hour: str = "datetime") -> dict[str, DataFrame]:
+    """The lookup tables of the hours from `start` to `end` (both in it): hours are added, no impression is read again."""
+    own = window(state, start, end, column=hour)
+    rates = [F.try_divide(F.sum("buyers"), F.sum("n")).alias("buyer_rate"), F.try_divide(F.sum("revenue"), F.sum("valued")).alias("avg_rev_d7"), F.try_divide(F.sum("whales"), F.sum("valued")).alias("whale_rate"), F.sum("n").alias("count")]
+    return settled_by(own.groupBy("table", "key").agg(*rates), "table", ["bundle", "category", "country", "segment"])
+
+
 def out_of_fold(df: DataFrame, key: str, row: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """`df` with buyer_rate and avg_rev_d7 of its key over the rows of the other folds (null where they have none).
 

@@ -15,6 +15,7 @@ from sparkloom.operators import encoding, evaluate, features, model, sampling, s
 from sparkloom.operators.ranks import quantile_values
 from sparkloom.plans.fixture import IMPRESSIONS, PURCHASES, WHALE_BUYS, WHALE_REVENUE, impressions, table, user_history, with_history
 from sparkloom.sources import scan
+from sparkloom.sources.scratch import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -779,3 +780,45 @@ def research_features(spark, d):
     df = impressions(spark, d)
     out = features.research(df, scan.window(df, None, TRAIN_END))
     return out.select("row_id", "weekday", r("country_te", 6).alias("country_te"), r("cat_whale_rate", 6).alias("cat_whale_rate"), r("country_avg_rev").alias("country_avg_rev"))
+
+
+# Ordered target statistics, states of hours, compiled models
+
+
+def _ordered_sql(c: str) -> str:
+    key = f"coalesce({c}, '__MISSING__')"
+    over = f"OVER (PARTITION BY {key} ORDER BY md5('42:' || row_id), row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return q(f"(coalesce(sum(buyer_d7) {over}, 0) + 2.0 * p) / (count(buyer_d7) {over} + 2.0)", 6) + f" AS {c}_ts"
+
+
+@query(imp(f", own AS (SELECT row_id, buyer_d7, nullif(country, (SELECT min(country) FROM imp)) AS country, advertiser_category, dev_os, (SELECT avg(buyer_d7) FROM imp) AS p FROM imp) SELECT row_id, {', '.join(map(_ordered_sql, ('country', 'advertiser_category', 'dev_os')))} FROM own"))
+def ordered_target_statistics(spark, d):
+    df = impressions(spark, d)
+    least, prior = df.agg(F.min("country"), F.avg("buyer_d7")).first()
+    own = df.select("row_id", "buyer_d7", F.nullif("country", F.lit(least)).alias("country"), "advertiser_category", "dev_os")
+    cats = ["country", "advertiser_category", "dev_os"]
+    return encoding.ordered_statistics(own, cats, "buyer_d7", "row_id", prior, 2.0).select("row_id", *(r(f"{c}_ts", 6).alias(f"{c}_ts") for c in cats))
+
+
+STATE_WINDOWS = [("2024-01-01", "2024-01-10"), ("2024-01-05", "2024-01-20"), (None, None)]
+
+
+def _state_sql() -> str:
+    keys = {"bundle": "advertiser_bundle", "category": "advertiser_category", "country": "country", "segment": "coalesce(country, 'None') || '_' || coalesce(dev_os, 'None')"}
+    parts = []
+    for n, (start, end) in enumerate(STATE_WINDOWS):
+        where = "TRUE" if start is None else f"datetime >= '{start}' AND datetime <= '{end}'"
+        for name, key in keys.items():
+            rates = f"{q('avg(buyer_d7)')} AS buyer_rate, {q('avg(iap_revenue_d7)')} AS avg_rev_d7, {q('avg(CAST(ln(1 + iap_revenue_d7) > 4.0 AS INTEGER))')} AS whale_rate, count(buyer_d7) AS count"
+            parts.append(f"SELECT {n} AS win, '{name}' AS tab, {key} AS key, {rates} FROM imp WHERE {where} AND {key} IS NOT NULL GROUP BY {key}")
+    return imp(" UNION ALL ".join(parts))
+
+
+@query(_state_sql())
+def lookup_state_windows(spark, d):
+    """Three windows' lookup tables from one hourly state."""
+    state = once(stats.hourly_state(impressions(spark, d), 4.0))
+    parts = []
+    for n, window in enumerate(STATE_WINDOWS):
+        parts += [t.select(F.lit(n).alias("win"), F.lit(name).alias("tab"), "key", r("buyer_rate").alias("buyer_rate"), r("avg_rev_d7").alias("avg_rev_d7"), r("whale_rate").alias("whale_rate"), "count") for name, t in stats.tables_of_state(state, *window).items()]
+    return stats.union_all(*parts)
