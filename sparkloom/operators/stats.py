@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,11 +156,40 @@ def nested_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
+def _products(columns: list[str], centre: list[float]):
+    """Sums of all pairs of columns over the rows that have both: one row for each pair and partition."""
+    k, (first, second) = len(columns), np.triu_indices(len(columns), 1)
+
+    def run(batches):
+        sums = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.cast("float64").fill_null(0.0)) for c in batch.columns]) - centre
+            there = np.column_stack([np.asarray(c.is_valid(), np.float64) for c in batch.columns])
+            x = np.where(there > 0, x, 0.0)
+            n, sx, sxx = there.T @ there, x.T @ there, (x * x).T @ there
+            sums += np.stack([n, sx, sx.T, sxx, sxx.T, x.T @ x])
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *(pa.array(s[first, second]) for s in sums)], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    return run
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of all pairs of columns, a before b, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")
+    """(a, b, r) of all pairs of columns, a before b, over the rows that have both; null where one of them doesn't vary.
+
+    A pass for the means, which values are taken from so that sums stay small,
+    and one for the products: each task multiplies the matrix of its rows with
+    itself and passes on one row for each pair, so plan and buffers follow the
+    columns and not their pairs times the rows.
+    """
+    own = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    centre = own.agg(*(F.avg(c) for c in own.columns)).first() if columns else []
+    parts = own.mapInArrow(_products(columns, [0.0 if m is None or m != m else m for m in centre]), "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    whole = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    spread = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
+    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)
+    names = F.array(*map(F.lit, columns))
+    return whole.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), F.when(spread > 0, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"))
 
 
 def strongest(df: DataFrame, target: str, k: int) -> DataFrame:

@@ -6,12 +6,13 @@ Doubles are rounded on both sides after a shift that keeps exact ties apart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import binning, nested, scalar
-from sparkloom.operators import encoding, evaluate, features, model, sampling, stats
+from sparkloom.operators import compiled, encoding, evaluate, features, model, sampling, sketches, stats
 from sparkloom.operators.ranks import quantile_values
 from sparkloom.plans.fixture import IMPRESSIONS, PURCHASES, WHALE_BUYS, WHALE_REVENUE, impressions, table, user_history, with_history
 from sparkloom.sources import scan
@@ -822,3 +823,72 @@ def lookup_state_windows(spark, d):
     for n, window in enumerate(STATE_WINDOWS):
         parts += [t.select(F.lit(n).alias("win"), F.lit(name).alias("tab"), "key", r("buyer_rate").alias("buyer_rate"), r("avg_rev_d7").alias("avg_rev_d7"), r("whale_rate").alias("whale_rate"), "count") for name, t in stats.tables_of_state(state, *window).items()]
     return stats.union_all(*parts)
+
+
+#: Fitted once on impressions up to TRAIN_END, and kept as text: the query and its SQL are made from the same trees.
+TWO_STAGE = compiled.Scorer.of((Path(__file__).parent / "two_stage.json").read_text())
+
+
+def _two_stage_sql() -> str:
+    body = TWO_STAGE.sql("given")
+    scored = f"SELECT row_id, {q('p_buyer', 6)} AS p_buyer, {q('log_rev', 6)} AS log_rev, {q('gated')} AS gated, {q('soft')} AS soft FROM ({body})"
+    return imp(f""", given AS (SELECT row_id, hour, user_id % 97 AS "user", length(advertiser_category) AS "name", length(country) AS "where" FROM imp WHERE datetime >= '{VAL_START}') {scored}""")
+
+
+@query(_two_stage_sql())
+def compiled_two_stage(spark, d):
+    """A stored two-stage model as column expressions over the rows after its training window."""
+    df = scan.window(impressions(spark, d), VAL_START)
+    own = df.select("row_id", "hour", (F.col("user_id") % 97).alias("user"), F.length("advertiser_category").alias("name"), F.length("country").alias("where"))
+    return TWO_STAGE.score(own).select("row_id", r("p_buyer", 6).alias("p_buyer"), r("log_rev", 6).alias("log_rev"), r("gated").alias("gated"), r("soft").alias("soft"))
+
+
+def _sketch_sql() -> str:
+    parts = []
+    for n, (start, end) in enumerate(STATE_WINDOWS):
+        where = "TRUE" if start is None else f"datetime >= '{start}' AND datetime <= '{end}'"
+        parts += [f"SELECT {n} AS win, '{c}' AS \"column\", count(DISTINCT {c}) AS n, TRUE AS near FROM imp WHERE {where}" for c in ("user_id", "advertiser_category")]
+        parts.append(f"SELECT {n}, 'iap_revenue_d7', count(iap_revenue_d7), TRUE FROM imp WHERE {where}")
+    return imp(" UNION ALL ".join(parts))
+
+
+@query(_sketch_sql())
+def sketch_windows(spark, d):
+    """Three windows from stored sketches beside the exact numbers: distinct counts within 4 %, and quantiles whose ranks are within 2 %."""
+    df = impressions(spark, d)
+    stored = once(sketches.hourly(df, ["user_id", "advertiser_category"], ["iap_revenue_d7"]))
+    parts = []
+    for k, (start, end) in enumerate(STATE_WINDOWS):
+        own = scan.window(df, start, end)
+        about = sketches.distinct_counts(stored, start, end).withColumnRenamed("n", "about")
+        exact = stats.n_unique(own, ["user_id", "advertiser_category"]).join(about, "column")
+        parts.append(exact.select(F.lit(k).alias("win"), "column", "n", (F.abs(F.col("about") - F.col("n")) <= 0.04 * F.col("n")).alias("near")))
+        x = F.col("iap_revenue_d7")
+        edges = F.array(*(F.struct(F.lit(e["q"]).alias("q"), F.lit(e["value"]).alias("value")) for e in sketches.quantiles(stored, [0.25, 0.5, 0.9, 0.99], start, end).collect()))
+        ranks = own.select("iap_revenue_d7", F.explode(edges).alias("e")).groupBy("e.q").agg(F.count(x).alias("n"), F.count_if(x < F.col("e.value")).alias("below"), F.count_if(x <= F.col("e.value")).alias("upto"))
+        slack = 0.02 * F.col("n")
+        met = (F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("upto") >= F.col("q") * F.col("n") - slack)
+        parts.append(ranks.agg(F.max("n").alias("n"), F.bool_and(met).alias("near")).select(F.lit(k).alias("win"), F.lit("iap_revenue_d7").alias("column"), "n", "near"))
+    return stats.union_all(*parts)
+
+
+#: Columns of the wide correlation.
+WIDE = 24
+
+
+def _wide() -> list[str]:
+    """Expressions of numbers of an order line, some of them missing; the same in both engines."""
+    base = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+    return [f"CASE WHEN (l_orderkey + l_linenumber) % {3 + i} > 0 THEN CAST({base[i % 6]} AS DOUBLE) + {i} * CAST({base[(i + 1) % 6]} AS DOUBLE) END" for i in range(WIDE)]
+
+
+def _wide_sql() -> str:
+    each = ", ".join(f"{e} AS x{i}" for i, e in enumerate(_wide()))
+    pairs = [f"SELECT 'x{i}' AS a, 'x{j}' AS b, {q(f'corr(x{i}, x{j})', 6)} AS r FROM own" for i in range(WIDE) for j in range(i + 1, WIDE)]
+    return f"WITH own AS MATERIALIZED (SELECT {each} FROM lineitem) {' UNION ALL '.join(pairs)}"
+
+
+@query(_wide_sql())
+def correlations_wide(spark, d):
+    own = table(spark, d, "lineitem").selectExpr(*(f"{e} AS x{i}" for i, e in enumerate(_wide())))
+    return stats.correlations(own, own.columns).select("a", "b", r("r", 6).alias("r"))

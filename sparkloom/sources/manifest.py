@@ -83,6 +83,32 @@ class Store:
             self.commit(address, **found, made_of=made_of)
         return self.spark.read.parquet(f"{self.folder}/{address}/{found['data']}")
 
+    def bucketed(self, name: str, made_of: dict, build: Callable[[], DataFrame], key: str = "row_id", buckets: int = 64, rebuild: bool = False) -> DataFrame:
+        """As table(), dealt into buckets by a hash of `key` and sorted by it: bucketed tables of one number of buckets join by the key without a shuffle.
+
+        A session that doesn't know the table yet is told of it by its manifest;
+        the data stay where they are.
+        """
+        address = self.address(name, made_of | {"buckets": buckets, "key": key})
+        found = None if rebuild else self.manifest(address)
+        if found is None:
+            data = f"data-{uuid.uuid4().hex}"
+            df = build()
+            self._known(address, data, df.schema, key, buckets)
+            df.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(self._name(address, data))
+            self.commit(address, data=data, made_of=made_of, schema=df.schema.json(), key=key, buckets=buckets)
+            found = {"data": data, "schema": df.schema.json()}
+        self._known(address, found["data"], T.StructType.fromJson(json.loads(found["schema"])), key, buckets)
+        return self.spark.table(self._name(address, found["data"]))
+
+    def _name(self, address: str, data: str) -> str:
+        return f"bucketed_{hashlib.sha256(f'{self.folder}/{address}/{data}'.encode()).hexdigest()[:24]}"
+
+    def _known(self, address: str, data: str, schema: T.StructType, key: str, buckets: int) -> None:
+        """The session's name for a bucketed table, made if it has none."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(address, data)} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{self.folder}/{address}/{data}'")
+
     def model(self, name: str, made_of: dict, fit: Callable[[], object], load: Callable[[str], object], rebuild: bool = False):
         """Models with a save() of that address, or what load() reads."""
         address = self.address(name, made_of)
