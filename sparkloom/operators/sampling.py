@@ -18,10 +18,12 @@ from sparkloom.operators.ranks import draws, kth
 BINS, WEIGHTS = [0.0, 1.0, 3.0, 6.0, 10.0, math.inf], [0.3, 1.0, 2.0, 3.0, 10.0]
 #: Draws with replacement that one row of the plan stands for.
 LOT = 100_000
+BITS = 60
 
 
-def hashed(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+def hashed(seed: int, *parts: str) -> Column:
+    """A number of BITS bits from a digest that other engines have too, so a draw can be checked there."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts))), F.lit(BITS // 4)), 16, 10).cast("long")
 
 
 def sample_plan(df: DataFrame, revenue: str = "iap_revenue_d7", bins: list[float] = BINS, weights: list[float] = WEIGHTS) -> DataFrame:
@@ -36,7 +38,7 @@ def sample_plan(df: DataFrame, revenue: str = "iap_revenue_d7", bins: list[float
 def _ranked(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
     """`df` with _rank from 1 within each group, by hash; the parts of a group that windows hold follow the number of rows."""
     bits = draws(df.count()).bit_length() - 1
-    own = df.withColumn("_hash", hashed(key, seed)).withColumn("_part", F.shiftrightunsigned("_hash", 64 - bits))
+    own = df.withColumn("_hash", hashed(seed, key)).withColumn("_part", F.shiftright("_hash", BITS - bits))
     sizes = own.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_hash", key))
@@ -55,7 +57,7 @@ def bin_sample(df: DataFrame, key: str, revenue: str = "iap_revenue_d7", bins: l
     without = ranked.join(plan, "bin").where("weight <= 1 and _rank <= n_samples").select(*df.columns, "bin")
     lots = plan.where("weight > 1 and n_samples > 0").select("bin", "n_original", "n_samples", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_samples"), F.lit(LOT).cast("long"))).alias("_from")).repartition("bin", "_from")
     each = lots.select("bin", "n_original", F.explode(F.sequence("_from", F.least(F.col("_from") + LOT - 1, F.col("n_samples")))).alias("_draw"))
-    drawn = each.select("bin", (F.pmod(F.xxhash64("bin", "_draw", F.lit(seed)), F.col("n_original")) + 1).alias("_rank"))
+    drawn = each.select("bin", (F.pmod(hashed(seed, "bin", "_draw"), F.col("n_original")) + 1).alias("_rank"))
     again = drawn.join(ranked, ["bin", "_rank"]).select(*df.columns, "bin")
     return without.unionByName(again)
 
@@ -72,7 +74,7 @@ def stratified_sample(df: DataFrame, key: str, revenue: str, strata: int = 5, fr
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    return df.orderBy(hashed(key, seed), key)
+    return df.orderBy(hashed(seed, key), key)
 
 
 def oversample(df: DataFrame, condition: Column, times: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import binning, nested, scalar
 from sparkloom.operators import compiled, encoding, evaluate, features, model, sampling, sketches, stats
-from sparkloom.operators.ranks import quantile_values
+from sparkloom.operators.ranks import quantile_values, running
 from sparkloom.plans.fixture import IMPRESSIONS, PURCHASES, WHALE_BUYS, WHALE_REVENUE, impressions, table, user_history, with_history
 from sparkloom.sources import scan
 from sparkloom.sources.scratch import once
@@ -568,7 +568,19 @@ def bin_sample_counts(spark, d):
     return sampling.bin_sample(impressions(spark, d), "row_id").groupBy("bin").agg(F.count("*").alias("n"))
 
 
-@query(None)
+def _drawn(*parts: str) -> str:
+    """SQL of the number that a row's or a draw's digest gives."""
+    return f"CAST('0x' || md5('42:' || {" || ':' || ".join(parts)})[1:15] AS BIGINT)"
+
+
+_BIN_ROWS = f""", b AS (SELECT row_id, iap_revenue_d7, {_BIN.replace('x ', 'iap_revenue_d7 ')} AS bin FROM imp),
+    w AS (SELECT * FROM (VALUES (0, 0.3), (1, 1.0), (2, 2.0), (3, 3.0), (4, 10.0)) t(bin, weight)),
+    k AS (SELECT b.*, CAST(weight AS DOUBLE) AS weight, row_number() OVER (PARTITION BY b.bin ORDER BY {_drawn('row_id')}, row_id) AS place, count(*) OVER (PARTITION BY b.bin) AS n FROM b JOIN w ON w.bin = b.bin),
+    p AS (SELECT bin, any_value(n) AS n, any_value(weight) AS weight, CAST(floor(any_value(n) * any_value(weight)) AS BIGINT) AS m FROM k GROUP BY bin),
+    r AS (SELECT bin, n, unnest(range(1, m + 1)) AS draw FROM p WHERE weight > 1)"""
+
+
+@query(imp(f"{_BIN_ROWS} SELECT row_id, iap_revenue_d7, k.bin FROM k JOIN p ON p.bin = k.bin WHERE k.weight <= 1 AND place <= m UNION ALL SELECT row_id, iap_revenue_d7, k.bin FROM r JOIN k ON k.bin = r.bin AND k.place = {_drawn('r.bin', 'draw')} % r.n + 1"))
 def bin_sample_rows(spark, d):
     return sampling.bin_sample(impressions(spark, d).select("row_id", "iap_revenue_d7"), "row_id")
 
@@ -582,7 +594,13 @@ def stratified_plan(spark, d):
     return own.select(F.col("stratum").cast("int").alias("stratum"), "n_original", "n_samples")
 
 
-@query(None)
+_R5 = ", ".join(f"quantile_cont(iap_revenue_d7, {i / 5})" for i in range(6))
+
+
+@query(imp(f""", e AS (SELECT list_distinct([{_R5}]) AS edges FROM imp),
+    b AS (SELECT row_id, iap_revenue_d7, CAST(greatest(len(list_filter(edges, lambda x: x < iap_revenue_d7)) - 1, 0) AS INTEGER) AS stratum FROM imp, e),
+    k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_drawn('row_id')}, row_id) AS place, count(*) OVER (PARTITION BY stratum) AS n FROM b)
+    SELECT row_id, iap_revenue_d7, stratum FROM k WHERE place <= greatest(1, floor(n * 0.1))"""))
 def stratified_rows(spark, d):
     return sampling.stratified_sample(impressions(spark, d).select("row_id", "iap_revenue_d7"), "row_id", "iap_revenue_d7")
 
@@ -655,10 +673,17 @@ def two_stage_product(spark, d):
     return _scored(spark, d).select("row_id", r(evaluate.product("p", "lr")).alias("soft"))
 
 
-@query(_SCORED + f"SELECT {q('count(*) FILTER (WHERE p >= 0.5 AND buyer_d7 = 1) / count(*) FILTER (WHERE buyer_d7 = 1)', 6)} AS cls_recall, {_reg_sql('greatest(p * (exp(lr) - 1), 0)', 'final_')}, {_reg_sql('greatest(exp(lr) - 1, 0)', 'reg_')} FROM s")
+def _cls_sql() -> str:
+    """Counts of the classifier at 0.5, and the rates that follow."""
+    n = {k: f"count(*) FILTER (WHERE {'' if k[1] == 'p' else 'NOT '}p >= 0.5 AND buyer_d7 {'=' if k in ('tp', 'fn') else '<>'} 1)" for k in ("tp", "fp", "fn", "tn")}
+    rates = {"precision": "{tp} / nullif({tp} + {fp}, 0)", "recall": "{tp} / nullif({tp} + {fn}, 0)", "f1": "2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0)", "accuracy": "({tp} + {tn}) / count(*)", "pos_rate_true": "({tp} + {fn}) / count(*)", "pos_rate_pred": "({tp} + {fp}) / count(*)"}
+    return ", ".join([f"{sql} AS cls_{k}" for k, sql in n.items()] + [f"{q(f'coalesce({sql.format(**n)}, 0.0)', 6)} AS cls_{k}" for k, sql in rates.items()])
+
+
+@query(_SCORED + f"SELECT {_cls_sql()}, {_reg_sql('greatest(p * (exp(lr) - 1), 0)', 'final_')}, {_reg_sql('greatest(exp(lr) - 1, 0)', 'reg_')} FROM s")
 def two_stage_report(spark, d):
     out = evaluate.two_stage_report(_scored(spark, d), "buyer_d7", "p", "y", "lr")
-    return out.select(r("cls_recall", 6).alias("cls_recall"), *(r(c).alias(c) for c in out.columns if c.startswith(("final_", "reg_"))))
+    return out.select(*(F.col(c) if c[4:] in ("tp", "fp", "fn", "tn") else r(c, 6).alias(c) if c.startswith("cls_") else r(c).alias(c) for c in out.columns))
 
 
 @query(_SCORED + f"SELECT row_id, {q('0.8 * p + 0.2 * buyer_d7', 6)} AS p_label, {q('0.8 * lr + 0.2 * ln(1 + y)', 6)} AS r_label FROM s")
@@ -693,9 +718,9 @@ def gbt_two_stage_predict(spark, d):
 # Further operators
 
 
-@query("SELECT event_id FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id FROM events")
 def sparse_dropped(spark, d):
-    own = table(spark, d, "events").where("event_id % 2 = 0").select("event_id", F.lit(None).cast("string").alias("empty"), F.when(F.col("event_id") < 0, 1).alias("never"))
+    own = table(spark, d, "events").select("event_id", F.lit(None).cast("string").alias("empty"), F.when(F.col("event_id") < 0, 1).alias("never"))
     return stats.drop_sparse(own)
 
 
@@ -725,9 +750,11 @@ def flatten_nested(spark, d):
     return out.drop("country_hist_entropy", "num_buys_bundle_std").withColumn("num_buys_bundle_mean", r("num_buys_bundle_mean", 6))
 
 
-@query(imp("SELECT count(*) AS n, count(DISTINCT row_id) AS rows, CAST(sum(row_id) AS BIGINT) AS total FROM imp"))
+@query(imp(f"SELECT row_id, row_number() OVER (ORDER BY {_drawn('row_id')}, row_id) - 1 AS place FROM imp"))
 def shuffled_rows(spark, d):
-    return sampling.shuffled(impressions(spark, d).select("row_id"), "row_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("rows"), F.sum("row_id").alias("total"))
+    """Every row with its place in the shuffled order."""
+    own = sampling.shuffled(impressions(spark, d).select("row_id"), "row_id").select("row_id", F.monotonically_increasing_id().alias("_at"), F.lit(1).alias("one"))
+    return running(own, ["_at"], ["one"]).select("row_id", F.col("one_before").alias("place"))
 
 
 @query(imp("SELECT 'country' AS \"column\", count(DISTINCT country) AS n FROM imp UNION ALL SELECT 'advertiser_bundle', count(DISTINCT advertiser_bundle) FROM imp UNION ALL SELECT 'user_id', count(DISTINCT user_id) FROM imp"))
@@ -774,13 +801,17 @@ def metric_lines(spark, d):
 
 @query(imp(f""", f AS (SELECT * FROM imp WHERE datetime <= '{TRAIN_END}'), c AS (SELECT country, avg(iap_revenue_d7) AS v FROM f GROUP BY 1),
     t AS (SELECT country, (SELECT avg(buyer_d7) FROM f) * (1 - 1 / (1 + exp(-(count(*) - 200.0)))) + avg(buyer_d7) / (1 + exp(-(count(*) - 200.0))) AS v FROM f GROUP BY 1),
+    t2 AS (SELECT advertiser_category AS cat, (SELECT avg(buyer_d7) FROM f) * (1 - 1 / (1 + exp(-(count(*) - 200.0)))) + avg(buyer_d7) / (1 + exp(-(count(*) - 200.0))) AS v FROM f GROUP BY 1),
+    k2 AS (SELECT country, avg(CAST(iap_revenue_d7 >= (SELECT quantile_cont(iap_revenue_d7, 0.8) FROM f) AS INTEGER)) AS v FROM f GROUP BY 1),
     k AS (SELECT advertiser_category AS cat, avg(CAST(iap_revenue_d7 >= (SELECT quantile_cont(iap_revenue_d7, 0.8) FROM f) AS INTEGER)) AS v FROM f GROUP BY 1)
-    SELECT row_id, CAST(isodow(strptime(datetime, '%Y-%m-%d-%H-%M')) - 1 AS INTEGER) AS weekday, {q('coalesce(t.v, (SELECT avg(buyer_d7) FROM f))', 6)} AS country_te, {q('coalesce(k.v, 0.0)', 6)} AS cat_whale_rate, {q('coalesce(c.v, 0.0)')} AS country_avg_rev
-    FROM imp LEFT JOIN c ON c.country = coalesce(imp.country, 'UNK') LEFT JOIN t ON t.country = coalesce(imp.country, 'UNK') LEFT JOIN k ON k.cat = coalesce(imp.advertiser_category, 'UNK')"""))
+    SELECT row_id, CAST(isodow(strptime(datetime, '%Y-%m-%d-%H-%M')) - 1 AS INTEGER) AS weekday, {q('coalesce(t.v, (SELECT avg(buyer_d7) FROM f))', 6)} AS country_te, {q('coalesce(k.v, 0.0)', 6)} AS cat_whale_rate, {q('coalesce(c.v, 0.0)')} AS country_avg_rev,
+        {q('coalesce(t2.v, (SELECT avg(buyer_d7) FROM f))', 6)} AS advertiser_category_te, {q('coalesce(k2.v, 0.0)', 6)} AS country_whale_rate, {q('sin(hour * pi() / 12)', 6)} AS hour_sin, {q('cos(hour * pi() / 12)', 6)} AS hour_cos
+    FROM imp LEFT JOIN c ON c.country = coalesce(imp.country, 'UNK') LEFT JOIN t ON t.country = coalesce(imp.country, 'UNK') LEFT JOIN k ON k.cat = coalesce(imp.advertiser_category, 'UNK')
+         LEFT JOIN t2 ON t2.cat = coalesce(imp.advertiser_category, 'UNK') LEFT JOIN k2 ON k2.country = coalesce(imp.country, 'UNK')"""))
 def research_features(spark, d):
     df = impressions(spark, d)
     out = features.research(df, scan.window(df, None, TRAIN_END))
-    return out.select("row_id", "weekday", r("country_te", 6).alias("country_te"), r("cat_whale_rate", 6).alias("cat_whale_rate"), r("country_avg_rev").alias("country_avg_rev"))
+    return out.select("row_id", "weekday", r("country_te", 6).alias("country_te"), r("country_avg_rev").alias("country_avg_rev"), *(r(c, 6).alias(c) for c in ("cat_whale_rate", "country_whale_rate", "advertiser_category_te", "hour_sin", "hour_cos")))
 
 
 # Ordered target statistics, states of hours, compiled models
