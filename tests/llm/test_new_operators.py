@@ -242,3 +242,40 @@ def test_cuts_read_only_their_frames(monkeypatch):
 
 def test_fill_in_middle_of_empty_table(spark):
     assert fill_in_middle.fill_in_middle(fill_in_middle.store(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+# The near-copy stage where a group of texts is hard to connect
+
+
+def test_texts_of_a_frequent_shingle(spark):
+    """Hundreds of unlike texts and a cluster whose texts are about as similar as the limit, all with one passage: components by brute force, and few candidates."""
+    from sparkloom.llm import near_copies
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(f"same{i}" for i in range(12))
+    texts = [f"{passage} {' '.join(rng.choice(words) for _ in range(40))}" for _ in range(250)]
+    stem = [rng.choice(words) for _ in range(120)]
+    for _ in range(120):
+        own = list(stem)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+            own[at] = rng.choice(words)
+        texts.append(f"{passage} {' '.join(own)}")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    for passes in (0, 3):
+        got = {r["row"]: r["component"] for r in near_copies.near_copies(rows, hubs=8, passes=passes).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(map(find, range(len(texts))))) > 250
