@@ -4,11 +4,13 @@ Kernel: two character strings are as similar as the subsequences of three
 characters that they share, each occurrence weighted by ``DECAY`` per skipped
 character and spanning at most ``SPAN`` characters; strings are scaled by the
 weight of their own subsequences.  So an insult with inserted characters keeps
-most of its weight.  Nyström landmarks (units of the labelled sample) span the
-feature space, and a squared-hinge SVM is trained in it on units: every unit of
-a clean text is a negative; of a toxic text, the units that clean texts lack
-beyond chance are positives, or else its most suspicious unit, chosen anew in
-each round.  Copies of positives with an inserted letter are positives too.  A text scores as its worst unit.
+most of its weight.  Units carry a mark at each end, so a word and a longer one
+that it begins differ.  Nyström landmarks (windows of the labelled sample) span
+the feature space, and a squared-hinge SVM is trained in it on windows of units:
+every window of a clean text is a negative; of a toxic text, the windows that
+clean texts lack beyond chance are positives, or else its most suspicious one,
+chosen anew in each round.  Copies of positives with an inserted letter are
+positives too.  A text scores as its worst window.
 
 Units are white-space tokens without their non-alphanumeric characters, in
 lower case, and runs of single-character tokens joined.  As the kernel is a
@@ -17,7 +19,8 @@ a unit is scored without visiting the landmarks.
 
 Null, empty and wordless texts have no units and get the score of the lowest
 decision.  Labels that are null are not learnt from; without labels of both
-classes nothing is toxic (score 0).
+classes nothing is toxic (score 0).  Rows that repeat a doc_id each count; a
+column of the score's name is replaced, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -37,8 +40,14 @@ SPAN, DECAY, ALPHABET = 7, 0.8, 64
 #: Most labelled texts of each class that the machine learns from.
 SAMPLE = 1500
 LANDMARKS, ROUNDS, COST = 400, 5, 10.0
+#: Clean windows that join a fit at a time.
+BATCH = 20_000
+#: Copies of a positive window with an inserted letter.
+INSERTED = 2
 #: A unit is scored in windows of so many characters, so that a long one doesn't dilute an insult.
-WINDOW = 12
+WINDOW = 14
+#: Marks the ends of a unit, so that a word and a longer one that it begins differ; units have no such character.
+EDGE = "\0"
 #: A unit of so many toxic texts and next to no clean ones that chance explains it with this probability is a certain sign.
 CHANCE = 1e-6
 #: Tokens that a worker remembers the decision of.
@@ -51,9 +60,9 @@ _STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes (1 to 63) of all units end to end, and the n + 1 offsets."""
+    """Character codes (0 for EDGE, else 1 to 63) of all strings end to end, and the n + 1 offsets."""
     raw = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    low = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), raw - 21, 37 + raw % 27))
+    low = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), raw - 21, np.where(raw == ord(EDGE), 0, 37 + raw % 27)))
     return low, np.concatenate(([0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))))
 
 
@@ -63,9 +72,10 @@ def _scale(n: int) -> float:
 
 
 def _windows(units: list[str]) -> tuple[list[str], np.ndarray]:
-    """Units in windows of at most WINDOW characters (each unit at least one), and whose they are."""
+    """Units, with a mark at each end, in windows of at most WINDOW characters (each unit at least one), and whose they are."""
     out, owner = [], []
     for i, u in enumerate(units):
+        u = EDGE + u + EDGE
         if len(u) <= WINDOW:
             out.append(u)
             owner.append(i)
@@ -126,10 +136,10 @@ def landmark_columns(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return table, columns
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps on the active rows; y is -1 or 1."""
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by Newton steps on the active rows, from `start` if given; y is -1 or 1."""
     y, weight = y.astype(np.float32), weight.astype(np.float32)
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1) if start is None else np.append(*start)
     ridge = np.full(len(w), 1.0)
     ridge[-1] = 1e-3
     decide = lambda w: x @ w[:-1].astype(np.float32) + np.float32(w[-1])
@@ -169,15 +179,21 @@ class Machine:
         if len(units) > block:
             return np.concatenate([self.decide(units[i : i + block]) for i in range(0, len(units), block)])
         windows, owner = _windows(units)
+        out = np.full(len(units), LOWEST)
+        np.maximum.at(out, owner, self.decide_windows(windows))
+        return out
+
+    def decide_windows(self, windows: list[str], block: int = 40_000) -> np.ndarray:
+        """Decision of each window."""
+        if len(windows) > block:
+            return np.concatenate([self.decide_windows(windows[i : i + block]) for i in range(0, len(windows), block)])
         raw = np.full(len(windows), self.bias, np.float64)
         for which, codes in _each_length(windows):
             total = np.zeros(len(which))
             for numbers, w in _subsequences(codes):
                 total += w * self.weights[numbers].sum(axis=1)
             raw[which] += total / _scale(codes.shape[1])
-        out = np.full(len(units), LOWEST)
-        np.maximum.at(out, owner, raw)
-        return out
+        return raw
 
     def score(self, decision: float) -> float:
         z = self.slope * decision + self.offset
@@ -211,69 +227,79 @@ def spelled(tokens: list[str]) -> list[str]:
     return out
 
 
-def _inserted(unit: str, rng: np.random.Generator) -> str:
-    """`unit` with a random letter inside."""
-    at = int(rng.integers(1, max(2, len(unit))))
-    return unit[:at] + chr(97 + int(rng.integers(26))) + unit[at:]
+def _inserted(window: str, rng: np.random.Generator) -> str:
+    """`window` with a random letter inside."""
+    at = int(rng.integers(1, max(2, len(window))))
+    return window[:at] + chr(97 + int(rng.integers(26))) + window[at:]
 
 
-def _learn(texts: list[tuple[int, list[str]]]) -> Machine | None:
-    """Machine from (toxic, distinct units) of the labelled sample."""
-    toxic = [u for y, u in texts if y == 1 and u]
-    clean = [u for y, u in texts if y == 0 and u]
-    if not toxic or not clean:
-        return None
-    in_toxic, in_clean = Counter(x for u in toxic for x in u), Counter(x for u in clean for x in u)
-    odds = {x: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((in_clean[x] + 0.1) / (len(clean) + 1)) for x, n in in_toxic.items()}
-    order = sorted((x for x in odds if len(x) >= 3), key=lambda x: (-odds[x] * np.log1p(in_toxic[x]), x))
-    common = sorted((x for x in in_clean if len(x) >= 3), key=lambda x: (-in_clean[x], x))
-    half = LANDMARKS // 2
-    landmarks = list(dict.fromkeys(x[:WINDOW] for x in order[:half])) + common[:: max(1, min(len(common), 4 * half) // half)][:half]
-    landmarks = list(dict.fromkeys(landmarks))
+def nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(table, columns) as of landmark_columns() whose sums are Nyström features: their products approximate the kernel, and equal it among landmarks."""
     table, columns = landmark_columns(landmarks)
     gram = features(landmarks, table, columns)
     values, vectors = np.linalg.eigh((gram + gram.T).astype(np.float64) / 2)
     good = values > 1e-4 * values[-1]
-    columns = columns @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)  # kernel values become Nyström features
-    met = Counter()
-    for w, i in zip(*_windows(known := list(in_clean))):
-        if len(w) >= 3:
-            met[w] += in_clean[known[i]]
-    negatives = list(met)
-    often = np.log1p([*met.values()])
+    return table, columns @ (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+
+
+def _learn(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, rounds: int = ROUNDS, batch: int = BATCH, chance: float = CHANCE) -> Machine | None:
+    """Machine from (toxic, distinct units) of the labelled sample.
+
+    Everything is learnt from whole units in windows.  Of the clean windows a
+    fit holds `batch` at first (half of them the most frequent), then also up to
+    `batch` more a time that lie inside its margin, until none outside the fit
+    does: the machine is that of all of them.
+    """
+    cut: dict[str, list[str]] = {}  # the windows of each distinct unit
+    windows = lambda units: {w for u in units for w in (cut.get(u) or cut.setdefault(u, _windows([u])[0]))}
+    toxic = [sorted(windows(u)) for y, u in texts if y == 1 and u]
+    clean = [u for y, u in texts if y == 0 and u]
+    if not toxic or not clean:
+        return None
+    in_toxic, in_clean = Counter(x for u in toxic for x in u), Counter(x for u in clean for x in windows(u))
+    odds = {x: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((in_clean[x] + 0.1) / (len(clean) + 1)) for x, n in in_toxic.items()}
+    suspicion = {x: o * np.log1p(in_toxic[x]) for x, o in odds.items()}
+    order = sorted(odds, key=lambda x: (-suspicion[x], x))
+    common = sorted(in_clean, key=lambda x: (-in_clean[x], x))
+    half = landmarks // 2
+    table, columns = nystroem(list(dict.fromkeys(order[:half] + common[:: max(1, min(len(common), 4 * half) // half)][:half])))
+    negatives = list(in_clean)
+    often = 1 + np.log1p([*in_clean.values()])
     rng = np.random.default_rng(0)
-    held = set(rng.permutation(len(negatives))[:10_000].tolist()) | set(np.argsort(-often, kind="stable")[:10_000].tolist())
-    share = len(toxic) / (len(toxic) + len(clean))
-    least = np.log(CHANCE) / np.log(share)
-    certain = {x for x, n in in_toxic.items() if len(x) >= 3 and n >= least and in_clean[x] <= n / 100}
+    held = np.zeros(len(negatives), bool)
+    held[rng.permutation(len(negatives))[: batch // 2]] = True
+    held[np.argsort(-often, kind="stable")[: batch // 2]] = True
+    least = np.log(chance) / np.log(len(toxic) / (len(toxic) + len(clean)))
+    certain = {x for x, n in in_toxic.items() if n >= least and in_clean[x] <= n / 100}
     signs = [[x for x in u if x in certain] for u in toxic]
-    witness = [own or [max(u, key=lambda x: (odds.get(x, -9.0) * np.log1p(in_toxic[x]) if len(x) >= 3 else -99.0, x))] for u, own in zip(toxic, signs)]
-    machine = None
+    witness = [own or [max(u, key=lambda x: (suspicion[x], x))] for u, own in zip(toxic, signs)]
     open_ = sorted({x for u, sign in zip(toxic, signs) if not sign for x in u})
-    for _ in range(ROUNDS):
-        positive = Counter(x[:WINDOW] for own in witness for x in own)
-        altered = {_inserted(x, rng): n for x, n in sorted(positive.items()) for _ in range(2)}
-        own = sorted(held)
-        chosen = [negatives[i] for i in own]
-        strings = [*positive, *altered, *chosen]
-        x = features(strings, table, columns)
-        y = np.concatenate([np.ones(len(strings) - len(chosen)), -np.ones(len(chosen))])
-        weight = np.concatenate([np.sqrt([*positive.values()]), np.sqrt([*altered.values()]) / 4, often[own]])
-        w, bias = svm(x, y, weight)
-        machine = Machine((columns @ w.astype(np.float32))[table].astype(np.float32), bias)
-        # Clean units inside the margin join the negatives; toxic texts without a certain sign name their worst unit anew.
-        against = machine.decide(negatives)
-        hard = [i for i in np.argsort(-against, kind="stable")[:5_000].tolist() if against[i] > -1 and i not in held]
-        held.update(hard)
-        decided = dict(zip(open_, machine.decide(open_).tolist()))
-        now = [sign or [max(u, key=decided.__getitem__)] for sign, u in zip(signs, toxic)]
-        if now == witness and not hard:
+    for _ in range(rounds):
+        positive = Counter(x for own in witness for x in own)
+        altered = {_inserted(x, rng): n for x, n in sorted(positive.items()) for _ in range(INSERTED)}
+        own_weight = np.concatenate([np.sqrt([*positive.values()]), np.sqrt([*altered.values()]) / INSERTED])
+        own = features([*positive, *altered], table, columns)
+        start = None
+        while True:
+            chosen = np.flatnonzero(held)
+            x = np.vstack([own, features([negatives[i] for i in chosen.tolist()], table, columns)])
+            y = np.concatenate([np.ones(len(own)), -np.ones(len(chosen))])
+            start = svm(x, y, np.concatenate([own_weight, often[chosen]]), start=start)
+            machine = Machine((columns @ start[0].astype(np.float32))[table].astype(np.float32), start[1])
+            against = machine.decide_windows(negatives)
+            hard = [i for i in np.argsort(-against, kind="stable").tolist() if against[i] > -1 and not held[i]][:batch]
+            if not hard:
+                break
+            held[hard] = True
+        # Toxic texts without a certain sign name their worst window anew.
+        decided = dict(zip(open_, machine.decide_windows(open_).tolist()))
+        now = [sign or [max(u, key=lambda x: (decided[x], x))] for sign, u in zip(signs, toxic)]
+        if now == witness:
             break
         witness = now
-    best = lambda u: float(machine.decide(u).max()) if u else LOWEST
-    d = np.array([best(u) for u in toxic + clean])
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    machine.slope, machine.offset = _logistic(d, y)
+    best = lambda u: float(machine.decide(u).max())
+    d = np.array([best(u) for c in (1, 0) for y, u in texts if y == c and u])
+    machine.slope, machine.offset = _logistic(d, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
     return machine
 
 
@@ -296,8 +322,10 @@ def _text_units(text: str | None) -> list[str]:
     return sorted({u for u in map(units_of, set(tokens)) if u} | set(spelled(tokens)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """Machine from at most `sample` texts of each class, those with the smallest hashes of doc_id.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **more) -> Machine | None:
+    """Machine from at most `sample` whole texts of each class, those with the smallest hashes of doc_id.
+
+    `more` goes to _learn(): landmarks, rounds, batch and chance.
 
     The sample's ids and units go to the driver; their number is bounded by the
     parameter.  Rows with crc32(doc_id) mod 5 = 0 are held out.
@@ -320,7 +348,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
         part = table.slice(i, 64)
         texts += [(y, [seen.setdefault(x, x) for x in units]) for y, units in zip(part["toxic"].to_pylist(), part["units"].to_pylist())]
     del table
-    return _learn(texts)
+    return _learn(texts, **more)
 
 
 class Scorer:
