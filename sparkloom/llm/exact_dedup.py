@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._session import kept, unpacked, with_group, with_rows
+from sparkloom.llm._session import BROADCAST, kept, unpacked, with_group, with_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most cells of the filter, whatever the input: 2 ** 27 cells are at most 2 ** 21 words of 64, 32 MB, to broadcast.
@@ -45,7 +45,7 @@ def possibly_repeated(rows: DataFrame, key: str, most_cells: int = MOST_CELLS, f
     """Pass two: `rows` with a boolean that is false only for rows whose key no other row has."""
     n = rows.count()
     cells = 1 << min(max((16 * n).bit_length(), 12), most_cells.bit_length() - 1)
-    words = F.broadcast(repeated_cells(rows.select(key), key, cells))
+    words = F.broadcast(kept(repeated_cells(rows.select(key), key, cells)))
     out = rows
     for i, cell in enumerate(_cells(F.col(key), cells)):
         out = out.withColumn(f"_cell{i}", cell)
@@ -72,14 +72,22 @@ def groups(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
 def survivors(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """The rows of `docs` that stay, with all their columns (whatever their names).
 
-    Digests are written next to the rows once; the passes read only them, and
-    the rows at the end.
+    Of equal texts with one doc_id a digest of the raw text and the other
+    columns decides, so the row that stays doesn't follow the order of the input.
+    Digests are written next to the rows once; the passes read only them.  The
+    losers' keys are taken away from the rows where these are; more keys than a
+    join broadcasts meet only the rows that may be repeated.
     """
-    rows = with_rows(docs, _id=F.col("doc_id").cast("long"), _sha=F.sha2(normalised(), 256))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    tie = F.sha2(F.concat_ws("/", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull().cast("string"), F.to_json(F.struct(*others))), 256)
+    rows = with_rows(docs, _id=F.col("doc_id").cast("long"), _sha=F.sha2(normalised(), 256), _tie=tie)
     marked = possibly_repeated(rows, "_sha", most_cells)
-    lone = marked.where(~F.col("_again")).select("_all")
-    best = marked.where("_again").groupBy("_sha").agg(F.max_by("_all", F.coalesce("_id", F.lit(-(1 << 63)))).alias("_all")).select("_all")
-    return unpacked(lone.unionByName(best), docs)
+    again = kept(marked.where("_again").select("_row", "_id", "_sha", "_tie"))
+    best = kept(again.groupBy("_sha").agg(F.max(F.struct("_id", "_tie", "_row")).alias("_top"), F.count("*").alias("_size")))
+    gone = kept(with_group(again, best, "_sha", "_size").where("_row <> _top._row").select("_row"))
+    if gone.count() <= BROADCAST:
+        return unpacked(rows.join(F.broadcast(gone), "_row", "left_anti"), docs)
+    return unpacked(marked.where(~F.col("_again")).select("_all").unionByName(marked.where("_again").join(gone, "_row", "left_anti").select("_all")), docs)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
