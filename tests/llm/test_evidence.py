@@ -175,3 +175,28 @@ def test_odd_rows_are_scored(spark, labelled):
     assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "1", "1", "3"]
     assert toxicity.survivors(docs.limit(0), machine).count() == 0
     assert toxicity.learn(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")) is None
+
+
+# The pipeline
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices(["th", "er", "on", "an", "re", "ed"], k=3))
+    own = lambda n: " ".join(word() for _ in range(n))
+    item, near = own(12), own(60)
+    rows = [(i, own(30) + (" snivelwit" if i % 2 else "")) for i in range(100, 160)]
+    rows += [(None, own(30)), (1, None), (2, ""), (None, None), (3, "Same " + item[:9]), (4, "same " + item[:9]), (5, own(9) + " " + item + " " + own(9)), (6, near), (7, near + " more"), (8, "w " * 60_000), (9, own(30)), (9, own(31))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "Kept": F.lit(1), "_score": F.lit("x"), "_all": F.lit(2)})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)] + [(None, 1), (9, None)], "doc_id long, toxic int")
+    for name, df in {"documents": docs, "labels": labels, "benchmark": spark.createDataFrame([("q", item), (None, None)], "item_id string, text string")}.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted(r["doc_id"] for r in left if r["doc_id"] is not None)
+    assert [i for i in ids if i < 100] == [2, 4, 6, 8, 9, 9] and sum(r["doc_id"] is None for r in left) == 1
+    assert [i for i in ids if i >= 100] == list(range(100, 160, 2))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
