@@ -6,8 +6,8 @@ texts may be less similar than 0.8, and similar ones further apart than any
 number of blocks reaches, links are only candidates, and the other pairs come
 from an exact prefix join: of n shingles in an order that all texts share, two
 texts of the wanted similarity have one in common among their first
-n - ceil(0.8 n) + 1.  Rare shingles come first; a sample of the texts tells
-which are frequent, and only the work depends on it.  Sizes, positions and
+n - ceil(0.8 n) + 1.  Rare shingles come first: those of all texts are counted
+in cells of their hashes, and only the work depends on which share a cell.  Sizes, positions and
 parities rule out pairs that can't reach the similarity (a bit of a parity is
 the number of shingles of that hash modulo 2, so two sets differ in at least as
 many shingles as their parities in bits).  Texts of a frequent shingle meet one
@@ -23,6 +23,7 @@ Texts without words have the empty set.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,10 @@ from sparkloom.llm.simhash import NEAR, Rule, hashed_shingles, hub_links, links_
 WORDS = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: Of more than so many texts one in SHARE tells which shingles are frequent; the most frequent shingles to be ordered by it.
-SAMPLE, SHARE, FREQUENT = 20_000, 4, 1_000_000
+#: Cells that shingles are counted in, at least and at most, as powers of two; between, the one from the bytes of text on.
+CELLS = (16, 22)
+#: Cells whose counts are sent at a time.
+SEGMENT = 4096
 #: Bits of a set's parity at least and at most; between, the power of two from its size on.
 PARITY = (512, 1 << 16)
 #: Members of a key that are compared in one task before the rest is shipped to others.
@@ -51,8 +54,6 @@ HUBS = 64
 PASSES = 4
 #: Shingles of a component of candidates that one task compares, and of the components that one bucket holds on average.
 WHOLE, BUCKET = 4_000_000, 1_000_000
-#: Hashes that are counted at a time for the sample.
-BLOCK = 1 << 21
 
 
 def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -78,43 +79,56 @@ def similar(common, n, m, least: tuple[int, int] = LEAST):
     return common * (least[0] + least[1]) >= (n + m) * least[0]
 
 
-def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of shingles that a sample of the texts has several times.
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts of a segment in the fewest bytes each that hold them."""
+    return counts.astype(next(f"<u{b}" for b in (1, 2, 4, 8) if not int(counts.max()) >> 8 * b)).tobytes()
 
-    A task counts a block of shingles at a time and passes on those that it met
-    more than once, so what is rare isn't shuffled.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        waiting = 0
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // SEGMENT}").astype(np.int64)
+
+
+def _cells(own: np.ndarray, n: int) -> np.ndarray:
+    """Of n cells, a power of two, the one of each hash."""
+    return (own >> np.uint64(65 - n.bit_length())).astype(np.int64)
+
 
-        def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+def _counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How many shingles, each once for each text that has it, fall into each cell, over all texts.
 
+    A task sends one packed segment of counts after the other, and those of a
+    segment are added up as they come: the counts of no other task are held.
+    """
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 << min(max(CELLS[0], total.bit_length()), CELLS[1])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(n, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                held.append(shingle_set(text.as_py(), size))
-                waiting += len(held[-1])
-                if waiting > BLOCK:
-                    yield counted()
-                    waiting = 0
-        if held:
-            yield counted()
-
-    part = SHARE if rows.count() > SAMPLE else 1
-    found = rows.where(F.pmod(F.xxhash64("_row"), F.lit(part)) == 0).select("text").mapInArrow(run, "h long, n long")
-    top = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+                np.add.at(own, _cells(shingle_set(text.as_py(), size), n), 1)
+        if own.any():
+            packs = [zlib.compress(_narrow(x), 1) for x in own.reshape(-1, SEGMENT)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(packs)), pa.int64()), pa.array(packs, pa.binary())], ["segment", "data"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[at] = sums.get(at, 0) + _wide(zlib.decompress(data.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array(map(_narrow, sums.values()), pa.binary())], ["segment", "data"])
+
+    form = "segment long, data binary"
+    found = rows.select("text").mapInArrow(counted, form).repartition("segment").mapInArrow(added, form).toArrow()
+    out = np.zeros((n // SEGMENT, SEGMENT), np.int64)
+    for at, data in zip(found.column(0).to_pylist(), found.column(1)):
+        out[at] = _wide(data.as_py())
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1)
 
 
 def _marks(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
     """(row, node, fp, n, parity, keys): each row's set, its fingerprint, size and parity, and its first shingles, rare ones first."""
-    frequent, counts = _frequent(rows, size)
+    counts = _counts(rows, size)
     schema = pa.schema([("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +142,8 @@ def _marks(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
                 sizes.append(len(own))
                 parities.append(parity(own))
                 first = len(own) + 1 - -(-least[0] * len(own) // least[1]) if len(own) else 0
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                    own = own[np.lexsort((own, np.where(frequent[at] == own, counts[at], 0)))]
-                keys.append(own[:first].view(np.int64))
+                # By counts, and those of one count by hash.
+                keys.append(own[np.argsort(counts[_cells(own, len(counts))], kind="stable")[:first]].view(np.int64))
             arrays = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 

@@ -279,3 +279,17 @@ def test_texts_of_a_frequent_shingle(spark):
         got = {r["row"]: r["component"] for r in near_copies.near_copies(rows, hubs=8, passes=passes).collect()}
         assert got == {i: find(i) for i in range(len(texts))}
     assert len(set(map(find, range(len(texts))))) > 250
+
+
+def test_shingles_of_all_texts_are_counted(spark):
+    """Of 24,000 texts of two shingles, one its own and one of three texts, each is found by the one of its own."""
+    from sparkloom.llm import near_copies
+
+    texts = [f"head{i // 3} a b c d tail{i}" for i in range(24_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(4)
+    own = {i: set(near_copies.shingle_set(f"a b c d tail{i}").view(np.int64).tolist()) for i in range(len(texts))}
+    marks = near_copies._marks(rows, 5, near_copies.LEAST).select("row", "keys").collect()
+    # Cells that hashes share may change a few.
+    assert len(marks) == len(texts) and sum(set(r["keys"]) == own[r["row"]] for r in marks) > 0.95 * len(texts)
+    counts = near_copies._counts(rows, 5)
+    assert counts.sum() == 2 * len(texts) and counts.max() < 12
