@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm._worker import keeping
+
 #: Entries of the per-worker memo (about 200 bytes each) before it starts afresh.
 MEMO_ENTRIES = 900_000
 
@@ -193,7 +195,7 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = keeping({})
 
 
 def codec(path: str, pattern: str) -> Codec:

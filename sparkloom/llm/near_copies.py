@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm._chunks import mix
 from sparkloom.llm._graph import components
 from sparkloom.llm._session import few, hinted, kept, packed, unpacked, with_group, with_rows, written
+from sparkloom.llm._worker import let_go
 from sparkloom.llm.simhash import NEAR, Rule, hashed_shingles, hub_links, links_by_key, near_links, one_per_component, simhash
 
 WORDS = 5
@@ -103,6 +104,7 @@ def _counts(rows: DataFrame, size: int) -> np.ndarray:
     n = 1 << min(max(CELLS[0], total.bit_length()), CELLS[1])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own = np.zeros(n, np.uint32)
         for batch in batches:
             for text in batch.column(0):
@@ -132,6 +134,7 @@ def _marks(rows: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             node, fp, sizes, parities, keys = [], [], [], [], []
             for text in batch.column(1):

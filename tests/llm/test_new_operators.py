@@ -293,3 +293,27 @@ def test_shingles_of_all_texts_are_counted(spark):
     assert len(marks) == len(texts) and sum(set(r["keys"]) == own[r["row"]] for r in marks) > 0.95 * len(texts)
     counts = near_copies._counts(rows, 5)
     assert counts.sum() == 2 * len(texts) and counts.max() < 12
+
+
+def test_near_copies_let_the_codec_go(spark):
+    """A worker that has encoded texts doesn't hold the codec and its memo while it looks for near copies."""
+    import os
+
+    import pyarrow as pa
+
+    from sparkloom.llm import bpe, near_copies
+
+    docs = spark.createDataFrame([(i, f"text of number {i} with words to remember") for i in range(2000)], "doc_id long, text string")
+    held = lambda: {r["pid"]: r["n"] for r in spark.range(64).repartition(64).mapInArrow(look, "pid long, n long").collect()}
+
+    def look(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"pid": pa.array([os.getpid()]), "n": pa.array([sum(len(c.memo) for c in bpe._codecs.values())])})
+
+    assert bpe.round_trip(docs.repartition(64)).where("not same").count() == 0
+    before = held()
+    assert sum(before.values()) > 1000
+    near_copies._marks(docs.select(F.col("doc_id").alias("_row"), "text").repartition(64), 5, near_copies.LEAST).write.format("noop").mode("overwrite").save()
+    after = held()
+    assert sum(after.values()) < sum(before.values()) // 2
