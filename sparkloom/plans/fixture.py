@@ -5,7 +5,7 @@ The SQL strings say the same for an oracle that only sees those tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,12 +51,23 @@ IMPRESSIONS = """imp AS (
          LEFT JOIN part p ON p.p_partkey = e.event_id % (SELECT count(*) FROM part))"""
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: user, brand, type, seller's country, revenue, time."""
+#: Rows up to which sellers are broadcast.
+MOST_SELLERS = 500_000
+
+
+def purchases(spark: SparkSession, sf_dir: str, users: DataFrame | None = None) -> DataFrame:
+    """One row per order line: user, brand, type, seller's country, revenue, time; with `users` (one column user_id) only theirs."""
     lineitem, orders, part, supplier, nation = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "nation"))
     sellers = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("seller"))
-    joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return joined.select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("bundle"), F.col("p_type").alias("category"), "seller", F.col("l_extendedprice").cast("decimal(18,2)").alias("revenue"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("bought_at"))
+    if supplier.count() <= MOST_SELLERS:  # from the file footers
+        sellers = F.broadcast(sellers)
+    owned = orders.select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    if users is not None:
+        owned = owned.join(users.distinct(), "user_id", "left_semi")
+    # Values are narrowed before the lines are shuffled.
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("revenue"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("bought_at"))
+    joined = lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select("user_id", F.col("p_brand").alias("bundle"), F.col("p_type").alias("category"), "seller", "revenue", "bought_at")
 
 
 PURCHASES = """buy AS (
@@ -70,37 +81,51 @@ PURCHASES = """buy AS (
 WHALE_BUYS, WHALE_REVENUE = 2, 50_000.0
 
 
-def _map(rows: DataFrame, key: str, **values) -> DataFrame:
-    """Per user, one map from `key` to each value; keys are grouped before they are collected."""
-    grouped = rows.where(F.col(key).isNotNull()).groupBy("user_id", key).agg(*(c.alias(n) for n, c in values.items()))
-    return grouped.groupBy("user_id").agg(*(F.map_from_entries(F.collect_list(F.struct(key, n))).alias(n) for n in values))
-
-
-def user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user with map and list columns of what was bought, when and from whom, and of actions."""
-    buy = purchases(spark, sf_dir)
-    events = table(spark, sf_dir, "events")
-    bundles = _map(buy, "bundle", num_buys_bundle=F.count("*"), iap_revenue_usd_bundle=F.sum("revenue").cast("double"), last_buy_ts_bundle=F.max("bought_at"), first_request_ts_bundle=F.min("bought_at"))
-    categories = _map(buy, "category", num_buys_category=F.count("*"), iap_revenue_usd_category=F.sum("revenue").cast("double"), last_buy_ts_category=F.max("bought_at"))
-    sellers = _map(buy, "seller", country_hist=F.count("*"))
-    lists = buy.groupBy("user_id").agg(F.sort_array(F.collect_list("bundle")).alias("bundles_ins"))
-    actions = _map(events, "event_type", user_actions_bundles_action_count=F.count("*"))
-    hours = events.groupBy("user_id", F.hour("ts").cast("string").alias("hour")).agg(F.count("*").alias("n"))
-    hours = hours.groupBy("user_id").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("counts"))
-    hours = hours.select("user_id", F.transform_values("counts", lambda _, v: v / F.col("all")).alias("hour_ratio"))
-    days = events.groupBy("user_id").agg(F.avg((F.weekday("ts") >= 5).cast("int")).alias("weekend_ratio"))
-    out = bundles
-    for more in (categories, sellers, lists):
-        out = out.join(more, "user_id", "left")
-    for more in (actions, hours, days):
-        out = out.join(more, "user_id", "full")
+def _map(kind: str, value: Column) -> Column:
+    """Map from key to value of a user's keys of this kind; null if there are none."""
+    entries = F.collect_list(F.when(F.col("kind") == kind, F.struct("key", value.alias("value"))))
+    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+
+
+def user_history(spark: SparkSession, sf_dir: str, users: DataFrame | None = None) -> DataFrame:
+    """One row per user with map and list columns of what was bought, when and from whom, and of actions; with `users` only purchases of theirs.
+
+    Purchases and events are shuffled by user once, as they are; keys are
+    counted and collected where they then lie, so no map is shuffled or joined.
+    """
+    buy = purchases(spark, sf_dir, users).select("user_id", F.lit(True).alias("bought"), F.col("bundle").alias("a"), F.col("category").alias("b"), F.col("seller").alias("c"), "revenue", "bought_at")
+    act = table(spark, sf_dir, "events").select("user_id", F.lit(False).alias("bought"), F.col("event_type").alias("a"), F.hour("ts").cast("string").alias("b"), (F.weekday("ts") >= 5).cast("string").alias("c"))
+    rows = buy.unionByName(act, allowMissingColumns=True).repartition("user_id")
+    kinds = {"a": ("bundle", "action"), "b": ("category", "hour"), "c": ("seller", "weekend")}
+    entries = F.array(*(F.struct(F.when(F.col("bought"), x).otherwise(y).alias("kind"), F.col(c).alias("key")) for c, (x, y) in kinds.items()))
+    each = rows.select("user_id", "revenue", "bought_at", F.explode(entries).alias("e")).select("user_id", "e.*", "revenue", "bought_at").where("key is not null")
+    counted = each.groupBy("user_id", "kind", "key").agg(F.count("*").alias("n"), F.sum("revenue").cast("double").alias("revenue"), F.max("bought_at").alias("last"), F.min("bought_at").alias("first"))
+    n, revenue, last, first = map(F.col, ("n", "revenue", "last", "first"))
+    of = lambda condition: F.sum(F.when(condition, F.col("n")))
+    out = counted.groupBy("user_id").agg(
+        _map("bundle", n).alias("num_buys_bundle"),
+        _map("bundle", revenue).alias("iap_revenue_usd_bundle"),
+        _map("bundle", last).alias("last_buy_ts_bundle"),
+        _map("bundle", first).alias("first_request_ts_bundle"),
+        _map("category", n).alias("num_buys_category"),
+        _map("category", revenue).alias("iap_revenue_usd_category"),
+        _map("category", last).alias("last_buy_ts_category"),
+        _map("seller", n).alias("country_hist"),
+        _map("action", n).alias("user_actions_bundles_action_count"),
+        _map("hour", n).alias("hours"),
+        of(F.col("kind") == "hour").alias("all"),
+        (F.coalesce(of((F.col("kind") == "weekend") & (F.col("key") == "true")), F.lit(0)) / of(F.col("kind") == "weekend")).alias("weekend_ratio"),
+    )
     more = {
-        "user_bundles": F.array_distinct("bundles_ins"),
+        "bundles_ins": F.flatten(F.transform(F.sort_array(F.map_entries("num_buys_bundle")), lambda e: F.array_repeat(e["key"], e["value"].cast("int")))),
+        "hour_ratio": F.transform_values("hours", lambda _, v: v / F.col("all")),
         "whale_users_bundle_total_num_buys": F.map_filter("num_buys_bundle", lambda _, v: v >= WHALE_BUYS),
         "whale_users_bundle_total_revenue": F.map_filter("iap_revenue_usd_bundle", lambda _, v: v >= WHALE_REVENUE),
     }
-    return out.withColumns(more)
+    return out.withColumns(more).withColumn("user_bundles", F.sort_array(F.map_keys("num_buys_bundle"))).drop("hours", "all")
 
 
-def with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impressions(spark, sf_dir).join(user_history(spark, sf_dir), "user_id", "left")
+def with_history(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The impressions (or `rows` of them) with their users' history; purchases of users without impressions aren't carried along."""
+    users = table(spark, sf_dir, "events").select("user_id")
+    return (impressions(spark, sf_dir) if rows is None else rows).join(user_history(spark, sf_dir, users), "user_id", "left")

@@ -418,8 +418,8 @@ def whale_maps(spark, d):
     FROM imp {_LOOKUP_JOINS} {_CODE_JOINS} {_USER_JOINS} {_MAP_JOINS} {_WHALE_JOINS} LEFT JOIN s ON s.user_id = imp.user_id LEFT JOIN a ON a.user_id = imp.user_id""")
 def offline_features(spark, d):
     """All offline columns of the impressions."""
-    df = impressions(spark, d)
-    out, _ = features.offline(with_history(spark, d), _tables(df), _fitted(df))
+    df = once(impressions(spark, d))
+    out, _ = features.offline(with_history(spark, d, df), _tables(df), _fitted(df))
     return _compared(out)
 
 
