@@ -49,16 +49,18 @@ def bin_sample(df: DataFrame, key: str, revenue: str = "iap_revenue_d7", bins: l
     """floor(n * weight) rows of each bin: without replacement up to weight 1, else with.
 
     Draws with replacement are made, a bounded number in one row, as hashed row
-    numbers and joined to the rows by bin and number.  Rows outside the bins are
-    left out.
+    numbers and joined to the rows by bin and number.  They may be more than the
+    rows and the planner only sees the few rows they come from, so the join is
+    told to sort and not to broadcast.  Rows outside the bins are left out.
     """
-    plan = F.broadcast(sample_plan(df, revenue, bins, weights))
+    plan = sample_plan(df, revenue, bins, weights)
+    few = F.broadcast(plan)  # only for joins of its own: what is made of a hinted table is broadcast too
     ranked = _ranked(df.withColumn("bin", cut(revenue, bins)).where("bin is not null"), "bin", key, seed)
-    without = ranked.join(plan, "bin").where("weight <= 1 and _rank <= n_samples").select(*df.columns, "bin")
+    without = ranked.join(few, "bin").where("weight <= 1 and _rank <= n_samples").select(*df.columns, "bin")
     lots = plan.where("weight > 1 and n_samples > 0").select("bin", "n_original", "n_samples", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_samples"), F.lit(LOT).cast("long"))).alias("_from")).repartition("bin", "_from")
     each = lots.select("bin", "n_original", F.explode(F.sequence("_from", F.least(F.col("_from") + LOT - 1, F.col("n_samples")))).alias("_draw"))
     drawn = each.select("bin", (F.pmod(hashed(seed, "bin", "_draw"), F.col("n_original")) + 1).alias("_rank"))
-    again = drawn.join(ranked, ["bin", "_rank"]).select(*df.columns, "bin")
+    again = drawn.hint("merge").join(ranked.join(few.where("weight > 1").select("bin"), "bin"), ["bin", "_rank"]).select(*df.columns, "bin")
     return without.unionByName(again)
 
 

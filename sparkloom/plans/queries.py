@@ -706,10 +706,14 @@ def teacher_student(spark, d):
 
 @query(None)
 def gbt_two_stage_predict(spark, d):
-    """Teachers fitted on the training window, and what they predict after it."""
-    df = impressions(spark, d)
-    out, _ = features.online(with_history(spark, d), _tables(df), _fitted(df))
-    own = out.join(df.select("row_id", "iap_revenue_d7", "buyer_d7"), "row_id")
+    """Teachers fitted on the training window, and what they predict after it.
+
+    Features are written once: each of the fits' many jobs reads the columns it
+    needs, and none plans the features again.
+    """
+    df = once(impressions(spark, d))
+    out, _ = features.online(with_history(spark, d, df), _tables(df), _fitted(df))
+    own = once(out.join(df.select("row_id", "iap_revenue_d7", "buyer_d7"), "row_id"))
     names = [c for c in stats.numeric_columns(own) if c not in ("row_id", "iap_revenue_d7", "buyer_d7", "advertiser_bundle")]
     fitted = model.fit_teachers(scan.window(own, None, TRAIN_END), names, model.Boosting(3, 3))
     return fitted.score(scan.window(own, VAL_START)).select("row_id", "p_buyer", "log_rev", "gated", "soft")

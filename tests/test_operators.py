@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ def test_bin_sample_sizes(spark):
     assert sampling.bin_sample(revenues(spark, [0.5]), "row_id").count() == 0
 
 
+def joins(df):
+    """The joins that ran, with their keys, after the plan was adapted."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"(\w+Join) (\[.*?\]), ", plan) for x in [" ".join(x)]]
+
+
+def test_draws_are_not_broadcast(spark):
+    df = revenues(spark, [0.5] * 50 + [20] * 3000)
+    out = sampling.bin_sample(df, "row_id")
+    found = [x for x in joins(out) if x.endswith("[bin, cast(_rank as bigint)]") or x.endswith("[bin, _rank]")]
+    assert found and all(x.startswith("SortMergeJoin") for x in found)
+    assert out.groupBy("bin").count().where("bin = 4").first()["count"] == 30_000
+
+
 def test_strata_and_splits(spark):
     df = revenues(spark, [0] * 97 + [1, 2, 3])
     assert sampling.stratified_sample(df, "row_id", "iap_revenue_d7").count() == 10

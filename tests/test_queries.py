@@ -79,3 +79,9 @@ def test_histories_are_shuffled_once(spark, small):
         dealt += [children.apply(i) for i in range(children.size())] if node.nodeName() != "AdaptiveSparkPlan" else [node.initialPlan()]
         if node.nodeName() == "Exchange":
             assert "map<" not in node.schema().catalogString()
+
+
+def test_models_read_features_that_were_written(spark, small):
+    """The jobs of the fits and the predictions don't plan histories and features again."""
+    plan = QUERIES["gbt_two_stage_predict"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [" in plan and "l_orderkey" not in plan
